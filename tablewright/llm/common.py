@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -51,8 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+#: A side is broadcast when its rows, as counted, are up to so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def beside(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``,
+    whose rows are counted, is within ``BROADCAST_BYTES``; else by a shuffled join."""
+    if small.count() * row_bytes <= BROADCAST_BYTES:
+        small = F.broadcast(small)
+    return big.join(small, on, how)
 
 
 def slices(sizes: Iterable[int], most: int = _BLOCK) -> Iterator[tuple[int, int]]:

@@ -14,9 +14,10 @@ cap on buckets: within a bucket, members are visited breadth first, each visit
 comparing one member with all that are still unvisited, which finds the same
 connected sets as all pairs would.
 
-Cases: a document without words (null, empty, punctuation only) has no
-signature and is never in a group; one with fewer words than a shingle has one
-shingle of all of them; repeated ids count once; extra columns are ignored.
+Cases: a document without words (null, empty, punctuation only) or without an id
+has no signature and is never in a group; one with fewer words than a shingle has
+one shingle of all of them; rows of one id are one document, joined to what any
+of its texts resembles; extra columns are ignored; an empty table gives no group.
 """
 
 from __future__ import annotations
@@ -156,12 +157,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``group_id`` is the least id of the group.
     """
     signs = cut(signed(docs, id_col, text_col, places, bands, shingle))
-    same = signs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    exact = cut(signs.select("doc_id", "key_a", "key_b").join(same.where("rep <> last"), ["key_a", "key_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    reps = signs.join(exact.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    reps = cut(signs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    exact = signs.select("doc_id", "key_a", "key_b").join(reps.where("doc_id <> last").select("key_a", "key_b", F.col("doc_id").alias("b")), ["key_a", "key_b"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
     sets = buckets.select(F.array_sort("ids").alias("ids")).select(F.xxhash64("ids").alias("bucket"), "ids").dropDuplicates(["bucket"])
-    members = sets.select("bucket", F.explode("ids").alias("doc_id")).join(signs.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id")
+    members = sets.select("bucket", F.explode("ids").alias("doc_id")).join(reps.select("doc_id", "sig"), "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
