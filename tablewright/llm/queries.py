@@ -6,15 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import chat, decontaminate, minhash, packing, quality, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_near_duplicates": near_duplicates}
-SQL: dict[str, str] = {}
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_url_filter": url_filter,
+    "op2_near_duplicates": near_duplicates,
+    "op3_chat_formatting": chat_formatting,
+    "op4_decontamination": decontamination,
+    "op7_quality_rules": quality_rules,
+    "op9_best_fit_packing": best_fit_packing,
+}
+SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op3_chat_formatting": chat.SQL, "op7_quality_rules": quality.SQL}
