@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, minhash, packing, quality, urls
+import corpus_pipeline
+
+from . import chat, decontaminate, lattice, licenses, minhash, packing, pii, quality, substrings, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,20 +30,43 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.likelihood(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter,
     "op2_near_duplicates": near_duplicates,
     "op3_chat_formatting": chat_formatting,
     "op4_decontamination": decontamination,
+    "op5_license_scan": license_scan,
+    "op6_lm_scoring": lm_scoring,
     "op7_quality_rules": quality_rules,
+    "op8_personal_data": personal_data,
     "op9_best_fit_packing": best_fit_packing,
+    "op10_substring_dedup": substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op1_url_filter": urls.sql(), "op3_chat_formatting": chat.SQL, "op7_quality_rules": quality.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
