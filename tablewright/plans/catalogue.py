@@ -1,10 +1,8 @@
-"""Queries over the driver's tables by name, each beside its SQL twin."""
+"""All queries over the driver's tables by name, each beside its SQL twin."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import rule_queries  # noqa: F401  (registers its queries)
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
