@@ -58,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def beside(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
     """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``,
     whose rows are counted, is within ``BROADCAST_BYTES``; else by a shuffled join."""
     if small.count() * row_bytes <= BROADCAST_BYTES:

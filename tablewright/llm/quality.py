@@ -7,8 +7,8 @@ A line is boilerplate where more than ``share`` of its host's documents, and mor
 than ``least`` documents, have it.  Such lines go; a document that keeps less than
 ``keep`` of its characters is depleted and rejected.
 
-Only hashes are shuffled.  Boilerplate is joined to the texts by broadcast while its
-counted size allows; beyond, the hits of each text are found by a join of hashes.
+Only hashes are shuffled.  What is joined to the texts, the boilerplate that each holds,
+is broadcast while its counted size allows; beyond, they are joined by a shuffle.
 
 Cases: a null text or one of white space only has nothing to keep and is rejected;
 a null source is a host of its own; empty lines neither count nor go; rows of one id
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, beside, cut
 
 SHARE, LEAST, KEEP = 0.02, 10, 0.4
 
@@ -31,36 +31,42 @@ def normalised(line: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    return F.when(normalised(line) != "", F.xxhash64(normalised(line)))
+    return F.xxhash64(normalised(line))
 
 
-def boilerplate(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """``host, same, line``: the different line hashes of each text, but the empty line's."""
+    lines = docs.select("host", "same", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_hash))).alias("line"))
+    return lines.where(F.col("line") != F.xxhash64(F.lit("")))
+
+
+def boilerplate(keyed: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``host, line``: hashes of the lines that are in too many documents of a host."""
-    keyed = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("same"), "text").where("text is not null")
-    lines = keyed.select("host", "same", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_hash))).alias("line")).where("line is not null")
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("same").alias("n")).where(F.col("n") > least)
-    hosts = keyed.groupBy("host").agg(F.countDistinct("same").alias("documents"))
+    counts = hashed_lines(keyed).groupBy("host", "line").agg(F.countDistinct("same").alias("n")).where(F.col("n") > least)
+    hosts = keyed.where("text is not null").groupBy("host").agg(F.countDistinct("same").alias("documents"))
     return counts.join(hosts, "host").where(F.col("n") > F.col("documents") * share).select("host", "line")
 
 
 def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with ``_text`` (what is left of it),
     ``_lines``, ``_removed`` (counts) and ``_rejected``."""
-    plain = docs.select("source", F.col("text").cast("string").alias("text"))
-    frequent = cut(boilerplate(plain, share, least))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")).withColumn("lines", F.split("text", "\n"))
-    if frequent.count() * 16 <= BROADCAST_BYTES:
-        by_host = frequent.groupBy("host").agg(F.collect_list("line").alias("bad"))
-        found = rows.join(F.broadcast(by_host), "host", "left").withColumn("bad", F.array_intersect(F.transform("lines", line_hash), "bad"))
-    else:
-        key = rows.withColumn("same", F.xxhash64("text"))
-        hit = key.select("host", "same", F.explode(F.transform("lines", line_hash)).alias("line")).join(frequent, ["host", "line"]).groupBy("host", "same").agg(F.collect_set("line").alias("bad"))
-        found = key.join(hit, ["host", "same"], "left")
-    bad = F.coalesce("bad", F.array().cast("array<bigint>"))
-    left = found.withColumn("left", F.filter("lines", lambda x: ~F.coalesce(F.array_contains(bad, line_hash(x)), F.lit(False))))
-    text = left.withColumn("_text", F.array_join("left", "\n"))
-    own = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
-    return text.select("row", "_text", F.size("lines").cast("long").alias("_lines"), (F.size("lines") - F.size("left")).cast("long").alias("_removed"), F.coalesce((own("_text") == 0) | (own("_text") < own("text") * keep), F.lit(True)).alias("_rejected"))
+    text = F.col("text").cast("string")
+    key = (F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("same"), text.alias("text"))
+    keyed = docs.select(*key)
+    frequent = cut(boilerplate(keyed, share, least))
+    lines = hashed_lines(keyed)
+    met = lines.join(F.broadcast(frequent) if frequent.count() * 16 <= BROADCAST_BYTES else frequent, ["host", "line"])
+    hits = cut(met.groupBy("host", "same").agg(F.collect_set("line").alias("bad")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    found = beside(rows, hits, ["host", "same"], "left", 60)
+    all_lines = F.split("text", "\n")
+    left = F.filter(all_lines, lambda x: ~F.array_contains("bad", line_hash(x)))
+    # texts without a hit, by far the most, are passed on as they are
+    split = found.select("row", "text", F.size(all_lines).cast("long").alias("_lines"), F.when(F.col("bad").isNotNull(), left).alias("left"))
+    own = lambda c: F.length(F.translate(c, " \t\n\r\f", ""))
+    judged_ = split.select("row", "text", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("_text"), "_lines", F.coalesce(F.col("_lines") - F.size("left"), F.lit(0)).cast("long").alias("_removed"))
+    depleted = F.when(F.col("_removed") > 0, (own("_text") == 0) | (own("_text") < own("text") * keep)).otherwise(~F.col("_text").rlike(r"[^ \t\n\r\f]"))
+    return judged_.select("row", "_text", "_lines", "_removed", F.coalesce(depleted, F.lit(True)).alias("_rejected"))
 
 
 def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP) -> DataFrame:
