@@ -1,8 +1,9 @@
 """Affine laws ``y = slope * x + intercept`` that hold within a group of rows.
 
-The fit is Theil-Sen: the median of slopes between up to 40 points of a group, evenly
-taken in row order, then the median intercept of all.  It's the one family that needs
-a grouped map; only the two columns and the group travel.
+The fit is Theil-Sen: the median of slopes between up to 40 points, then the median
+intercept.  Laws are fitted on about ``SAMPLE`` rows of each group, picked by a hash of the
+row number, in a grouped map; they are then measured over all rows in one aggregation.
+A small group is fitted on all of its rows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-ABS, REL, POINTS, MIN_ROWS, CONFIDENCE, MOST_GROUPS = 1e-6, 1e-6, 40, 12, 0.98, 12
-FIT = "slope double, intercept double, support long, confidence double, exact boolean, stable boolean, low double, high double"
-
-
-def close(a: np.ndarray, b: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    return np.abs(a - b) <= scale * (ABS + REL * np.maximum(np.abs(b), 1))
+ABS, REL, POINTS, SAMPLE, MIN_ROWS, CONFIDENCE, MOST_GROUPS = 1e-6, 1e-6, 40, 400, 12, 0.98, 12
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
@@ -35,31 +31,34 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
     return slope, float(np.median(y - slope * x))
 
 
-def judged(x: np.ndarray, y: np.ndarray, confidence: float = CONFIDENCE) -> tuple | None:
-    got = fit(x, y)
-    if got is None:
-        return None
-    slope, intercept = got
-    good = close(y, slope * x + intercept)
-    n, half = len(x), len(x) // 2
+def steady(x: np.ndarray, y: np.ndarray, law: tuple[float, float]) -> bool:
+    """Whether halves and alternate rows have the same law."""
+    slope, intercept = law
+    half = len(x) // 2
     parts = [s for s in (slice(0, None, 2), slice(1, None, 2), slice(0, half), slice(half, None)) if len(x[s]) >= 4]
-    fits = [f for f in (fit(x[s], y[s]) for s in parts) if f]
-    steady = len(fits) >= 2 and all(abs(a - slope) <= 10 * (ABS + REL * max(abs(slope), 1)) and abs(b - intercept) <= 10 * (ABS + REL * max(abs(intercept), 1)) for a, b in fits)
-    tight = close(y, slope * x + intercept, 0.5).mean() >= confidence
-    return slope, intercept, n, float(good.mean()), bool(good.all()), bool(good.mean() >= confidence and steady and tight), float(x.min()), float(x.max())
+    others = [f for f in (fit(x[s], y[s]) for s in parts) if f]
+    near = lambda a, b: abs(a - b) <= 10 * (ABS + REL * max(abs(b), 1))
+    return len(others) >= 2 and all(near(a, slope) and near(b, intercept) for a, b in others)
 
 
 def fits(wide: DataFrame, scope: str, source: str, target: str, confidence: float = CONFIDENCE) -> DataFrame:
     """``scope`` and the law of each group."""
     t = wide.select("_row", F.col(f"`{scope}`").cast("string").alias("scope"), X.to_num(F.col(f"`{source}`").cast("string")).alias("x"), X.to_num(F.col(f"`{target}`").cast("string")).alias("y")).where("scope <> '' and x is not null and y is not null")
+    sizes = t.groupBy("scope").agg(F.count("*").alias("n"))
+    picked = t.join(sizes, "scope").where(F.pmod(F.xxhash64("_row"), F.floor(F.col("n") / SAMPLE) + 1) == 0).select("scope", "_row", "x", "y")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
-        got = judged(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), confidence)
-        names = [c.split()[0] for c in f"scope s, {FIT}".split(", ")]
-        return pd.DataFrame([(pdf["scope"].iloc[0], *got)] if got else [], columns=names)
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        law = fit(x, y)
+        return pd.DataFrame([(pdf["scope"].iloc[0], *law, steady(x, y, law))] if law else [], columns=["scope", "slope", "intercept", "steady"])
 
-    return t.groupBy("scope").applyInPandas(one, f"scope string, {FIT}")
+    laws = picked.groupBy("scope").applyInPandas(one, "scope string, slope double, intercept double, steady boolean")
+    want = F.col("slope") * F.col("x") + F.col("intercept")
+    hit = lambda k: F.count_if(X.is_close(F.col("y"), want, k * ABS, k * REL))
+    out = t.join(laws, "scope").groupBy("scope", "slope", "intercept", "steady").agg(F.count("*").alias("support"), hit(1).alias("m"), hit(0.5).alias("tight"), F.min("x").alias("low"), F.max("x").alias("high"))
+    share = F.col("m") / F.col("support")
+    return out.select("scope", "slope", "intercept", "support", share.alias("confidence"), (F.col("m") == F.col("support")).alias("exact"), (F.col("steady") & (share >= confidence) & (F.col("tight") >= F.col("support") * confidence)).alias("stable"), "low", "high")
 
 
 def scope_columns(wide: DataFrame, columns: list[str], rows: int, most: int = MOST_GROUPS) -> list[str]:
