@@ -211,7 +211,7 @@ _RANK = "c AS (SELECT n_nationkey AS i, k, CASE WHEN (n_nationkey + k) % 9 = 0 T
 @query(f"""WITH {_RANK} SELECT g.i, g.k, round(avg(a.x * b.x / c.x), 6) AS expected, count(*) AS witnesses FROM c g JOIN c a ON a.i = g.i AND a.x IS NOT NULL JOIN c b ON b.k = g.k AND b.x IS NOT NULL
 JOIN c ON c.i = b.i AND c.k = a.k AND c.x <> 0 WHERE g.x IS NULL GROUP BY 1, 2 HAVING count(*) >= 2""")
 def rank1_completion(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(5))).cast("long").alias("k"))
+    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.explode(F.expr("sequence(0L, 5L)")).alias("k"))
     return diagnostics.rank_one(t.withColumn("x", F.when((F.col("i") + F.col("k")) % 9 != 0, ((F.col("i") + 2) * (F.col("k") + 1)).cast("double"))))
 
 
