@@ -22,16 +22,53 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, texts_of
+from .common import U64, _BASE, _INV, _powers, chunks, cut, texts_of
 
 MODEL, ALPHA = "/opt/tokenizers/piece_bpe_32k.model", 0.5
 SPACE = "▁"
-_CACHE = 300_000
+_CACHE, _WIDE = 300_000, 64
+
+
+class _Table:
+    """Scores of the pieces of one length by a hash of their characters.
+
+    Two tables without a chain: what collides in the first is in the second."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(6, int(len(keys) * 16 - 1).bit_length())
+        random = np.random.default_rng(1)
+        while True:
+            self.factors = random.integers(1, 1 << 63, 2).astype(U64) * U64(2) + U64(1)
+            first = np.unique(self._slot(keys, 0), return_index=True)[1]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            if len(np.unique(self._slot(keys[rest], 1))) == rest.sum():
+                break
+        self.keys, self.values = np.zeros((2, 1 << self.bits), U64), np.full((2, 1 << self.bits), -np.inf)
+        for k, part in ((0, first), (1, np.flatnonzero(rest))):
+            slot = self._slot(keys[part], k)
+            self.keys[k, slot], self.values[k, slot] = keys[part], values[part]
+
+    def _slot(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return ((keys * self.factors[k]) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Scores, minus infinity where there's no such piece."""
+        a, b = self._slot(keys, 0), self._slot(keys, 1)
+        out = np.where(self.keys[0][a] == keys, self.values[0][a], -np.inf)
+        other = self.keys[1][b] == keys
+        out[other] = self.values[1][b[other]]
+        return out
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Lattice:
@@ -40,32 +77,88 @@ class Lattice:
     def __init__(self, pieces: dict[str, float], bytes_: list[float]) -> None:
         self.pieces, self.bytes = pieces, bytes_
         self.longest = max(map(len, pieces), default=1)
+        self.tables: dict[int, _Table] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None, "single": None}
+
+    def _prepare(self) -> None:
+        by: dict[int, list[str]] = {}
+        for p in self.pieces:
+            by.setdefault(len(p), []).append(p)
+        self.tables = {}
+        for n in sorted(by.keys() - {1}):
+            c = _codes(by[n]).reshape(-1, n).astype(U64)
+            self.tables[n] = _Table((c * _powers("base", _BASE, n)).sum(axis=1, dtype=U64), np.array([self.pieces[p] for p in by[n]]))
+        self.single = np.full(0x110000, np.nan)
+        for p in by.get(1, []):
+            self.single[ord(p)] = self.pieces[p]
 
     def spelled(self, c: str) -> float:
         return sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
 
+    def score(self, word: str) -> float:
+        """Log probability of one word, by the recursion as it is written."""
+        s, alpha = SPACE + word, [0.0]
+        for j in range(1, len(s) + 1):
+            ways = [alpha[i] + self.pieces[s[i:j]] for i in range(max(0, j - self.longest), j) if s[i:j] in self.pieces]
+            if s[j - 1] not in self.pieces:
+                ways.append(alpha[j - 1] + self.spelled(s[j - 1]))
+            top = max(ways)
+            alpha.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+        return alpha[-1]
+
     def scores(self, words: Iterable[str]) -> dict[str, float]:
-        """Log probability of each word; words in order share the sums of their prefixes."""
-        out, before, alpha = {}, "", [0.0]
-        get, longest, exp = self.pieces.get, self.longest, math.exp
-        for word in sorted(words):
-            s = SPACE + word
-            k, most = 0, min(len(s), len(before))
-            while k < most and s[k] == before[k]:
-                k += 1
-            del alpha[k + 1 :]
-            for j in range(k + 1, len(s) + 1):
-                low = j - longest if j > longest else 0
-                ways = [alpha[i] + x for i in range(low, j) if (x := get(s[i:j])) is not None]
-                if s[j - 1] not in self.pieces:
-                    ways.append(alpha[j - 1] + self.spelled(s[j - 1]))
-                if len(ways) == 1:
-                    alpha.append(ways[0])
-                else:
-                    top = max(ways)
-                    alpha.append(top + math.log(sum([exp(w - top) for w in ways])))
-            out[word] = alpha[-1]
-            before = s
+        """Log probability of each word.
+
+        Words are sorted, so that those with a common prefix share its sums; the recursion
+        takes all words' next character at once.  Words of over ``_WIDE`` characters
+        are done one by one."""
+        words = set(words)
+        out = {w: self.score(w) for w in words if len(w) >= _WIDE}
+        order = sorted(words - out.keys())
+        if not order:
+            return out
+        if self.tables is None:
+            self._prepare()
+        size = np.fromiter(map(len, order), np.int64, len(order)) + 1
+        wide = int(size.max())
+        chars = np.full((len(order), wide), 0x7FFFFFFF, np.uint32)
+        chars[:, 0] = ord(SPACE)
+        row = np.repeat(np.arange(len(order)), size - 1)
+        chars[row, np.arange(len(row)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + 1] = _codes(order)
+        new = np.ones((len(order), wide), bool)
+        new[1:] = np.logical_or.accumulate(chars[1:] != chars[:-1], axis=1)
+        new &= np.arange(wide) < size[:, None]
+        sums = np.zeros((len(order), wide + 1), U64)
+        np.cumsum(chars.astype(U64) * _powers("base", _BASE, wide), axis=1, out=sums[:, 1:])
+        inverse = _powers("inverse", _INV, wide)
+        alpha = [np.zeros(len(order))]
+        total = np.zeros(len(order))
+        for j in range(1, wide + 1):
+            at = np.flatnonzero(new[:, j - 1])
+            one = self.single[chars[at, j - 1]]
+            for k in np.flatnonzero(np.isnan(one)):
+                one[k] = self.single[chars[at[k], j - 1]] = self.spelled(chr(chars[at[k], j - 1]))
+            ways = [alpha[j - 1][at] + one]
+            end = sums[at, j]
+            for n, t in self.tables.items():
+                if n > j:
+                    break
+                ways.append(alpha[j - n][at] + t.find((end - sums[at, j - n]) * inverse[j - n]))
+            here = np.full(len(order), -np.inf)
+            if len(at):
+                both = np.array(ways)
+                top = both.max(axis=0)
+                here[at] = top + np.log(np.exp(both - top).sum(axis=0))
+                # a word without a new prefix here has that of the last one before it
+                source = np.zeros(len(order), np.int64)
+                source[at] = at
+                here = here[np.maximum.accumulate(source)]
+            alpha.append(here)
+            done = size == j
+            total[done] = here[done]
+        out.update(zip(order, total.tolist()))
         return out
 
 
