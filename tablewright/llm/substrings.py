@@ -18,6 +18,9 @@ and documents go only to the shards that can hold a match:
    that share a window hash with another document get that far.
 4. Spans of a document are united and cut from its text.
 
+What is joined to the texts, places and spans, grows with the corpus, so these joins are
+shuffles at every size.
+
 Words are runs of letters, digits and other non-ASCII characters in lower case.
 
 Cases: null ids and texts without ``least`` words have no span; repeats within one
@@ -35,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, _BASE, _INV, _powers, beside, chunks, cut, fold, mix, texts_of, words
+from .common import U64, _BASE, _INV, _powers, chunks, cut, fold, mix, texts_of, words
 
 LEAST, GRAM, SHARD_CONTEXTS = 50, 20, 4000
 
@@ -176,7 +179,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_
             rows = [(d, x["f"], x["first"], small[a + x["first"] : a + x["last"] + least].tobytes()) for d, a, xs in zip(pdf["doc_id"], at, pdf["at"]) for x in xs]
             yield pd.DataFrame(rows, columns=["doc_id", "f", "first", "words"]).astype({"doc_id": "int64", "f": "int64", "first": "int32"})
 
-    texts = beside(docs, places, "doc_id", "inner", 120).mapInPandas(read, "doc_id long, f long, first int, words binary")
+    texts = docs.join(places.hint("shuffle_merge"), "doc_id").mapInPandas(read, "doc_id long, f long, first int, words binary")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["f", "doc_id", "first"]).reset_index(drop=True)
@@ -250,4 +253,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((d, ",".join(f"{a}-{b}" for a, b in pairs), sum(b - a for a, b in spans), list(refs), left))
             yield pd.DataFrame(rows, columns=["doc_id", "spans", "removed_words", "refs", "text"])
 
-    return beside(plain, by_doc, "doc_id", "inner", 160).mapInPandas(drop, "doc_id long, spans string, removed_words long, refs array<long>, text string")
+    return plain.join(by_doc.hint("shuffle_merge"), "doc_id").mapInPandas(drop, "doc_id long, spans string, removed_words long, refs array<long>, text string")
