@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -54,16 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A side is broadcast when its rows, as counted, are up to so many bytes.
+#: A side is broadcast when its rows, as measured, take up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
-def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
-    """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``,
-    whose rows are counted, is within ``BROADCAST_BYTES``; else by a shuffled join."""
-    if small.count() * row_bytes <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int | Column) -> DataFrame:
+    """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``, whose
+    rows are measured, is within ``BROADCAST_BYTES``; else by a shuffled join.
+
+    ``row_bytes`` is what a row takes in memory, an expression where rows differ."""
+    size = small.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small.hint("shuffle_merge"), on, how)
 
 
 def slices(sizes: Iterable[int], most: int = _BLOCK) -> Iterator[tuple[int, int]]:

@@ -58,7 +58,7 @@ def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: floa
     met = lines.join(F.broadcast(frequent) if frequent.count() * 16 <= BROADCAST_BYTES else frequent, ["host", "line"])
     hits = cut(met.groupBy("host", "same").agg(F.collect_set("line").alias("bad")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
-    found = beside(rows, hits, ["host", "same"], "left", 60)
+    found = beside(rows, hits, ["host", "same"], "left", F.size("bad") * 8 + 80)
     all_lines = F.split("text", "\n")
     left = F.filter(all_lines, lambda x: ~F.array_contains("bad", line_hash(x)))
     # texts without a hit, by far the most, are passed on as they are
