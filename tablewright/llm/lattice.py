@@ -178,7 +178,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             if len(held) > _CACHE:
                 yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

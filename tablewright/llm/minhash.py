@@ -99,6 +99,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plac
         for pdf in chunks(batches, "text"):
             elements, at = shingles(texts_of(pdf), shingle)
             held = np.diff(at) > 0
+            if not held.any():
+                continue
             sig = signatures(elements, at, places)[held]
             key_a = np.zeros(len(sig), U64)
             key_b = np.full(len(sig), 0x5851F42D4C957F2D, U64)

@@ -107,8 +107,11 @@ class Samples:
 
     def window(self, size: int) -> tuple[str, list[tuple[int, int, int]]]:
         r, text, spans = self.r, "", []
+        # a text ends of its own or is cut by the window, never cut and then padded
+        ends = r.random() < 0.3
+        long = int(r.integers(4, size - 70)) if ends else size + 40
         noise = self.pick("", "", "", "!!", "###", "%%%", "***", "$$$", "&&&", "|")
-        while len(text) < size + 40:
+        while len(text) < long:
             x = r.random()
             if x < 0.12:
                 k = int(r.integers(len(KINDS)))
@@ -128,9 +131,10 @@ class Samples:
             else:
                 text += self.word() + self.pick("", "", "", "", "", ".", ",", ";", noise, noise)
             text += self.pick(" ", " ", " ", " ", " ", " ", " ", "\n", " | ")
+        if ends:
+            text = text.rstrip() if r.random() < 0.8 else text
+            return text[:size], [(x, min(y, size), k) for x, y, k in spans if x < size]
         cut = int(r.integers(0, 40))
-        if r.random() < 0.15:
-            size = int(r.integers(10, size))
         return text[cut : cut + size], [(max(0, a - cut), min(size, b - cut), k) for a, b, k in spans if a - cut < size and b > cut]
 
     def batch(self, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
