@@ -48,6 +48,37 @@ def realigned(raw: DataFrame, width: int) -> DataFrame:
     return best.where(alone).select("_row", "b.operation", F.col("b.position").cast("long").alias("position"), F.col("b.mismatches").cast("long").alias("mismatches"), "b.new_cells")
 
 
+def affine_filled(wide: DataFrame, gaps: list[tuple[int, str]]) -> DataFrame:
+    """``wide`` with blanks, by ``row, column``, filled where exact laws of other columns,
+    of eight witnesses or more, all give the same value."""
+    from . import numeric, overlay, scoped
+
+    names = [c for c in wide.columns if c != "_row"]
+    numbers = numeric.numeric_columns(wide, names)
+    edits = []
+    for row, column in gaps:
+        cells = wide.where(F.col("_row") == row).first()
+        said = set()
+        for source in numbers:
+            if column not in numbers or source == column:
+                continue
+            law = scoped.fits(wide.withColumn("_all", F.lit("all")), "_all", source, column).where("exact and stable and support >= 8").first()
+            x = spark_number(cells[source])
+            if law is not None and x is not None:
+                said.add(round(law["slope"] * x + law["intercept"], 6))
+        if len(said) == 1:
+            v = said.pop()
+            edits.append(("set_cell", row, column, "", str(int(v)) if v == int(v) else repr(v)))
+    return overlay.apply(wide, wide.sparkSession.createDataFrame(edits, overlay.EDIT)) if edits else wide
+
+
+def spark_number(v: str | None) -> float | None:
+    try:
+        return float(v) if v else None
+    except ValueError:
+        return None
+
+
 def canonical_header(header: list[str]) -> list[tuple[int, str, str]]:
     """``column, old, new`` of names with other than word characters, blank or repeated."""
     seen: Counter = Counter()

@@ -91,3 +91,30 @@ def blank_fills(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Dat
 def proposals_without_conflict(proposals: DataFrame) -> DataFrame:
     """Proposals ``file, _row, column, expected`` of cells that have only one."""
     return proposals.groupBy("file", "_row", "column").agg(F.min("expected").alias("expected"), F.countDistinct("expected").alias("n")).where("n = 1").drop("n")
+
+
+def join_keys(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, a_rows, matched, unique``: columns that both tables have, as keys one to one."""
+    out = None
+    for c in columns:
+        one = a.groupBy(F.col(f"`{c}`").cast("string").alias("k")).agg(F.count("*").alias("n"))
+        two = b.groupBy(F.col(f"`{c}`").cast("string").alias("k")).agg(F.count("*").alias("m"))
+        r = one.join(two, "k", "left").agg(F.sum("n").alias("a_rows"), F.count("m").alias("matched"), ((F.max("n") == 1) & (F.coalesce(F.max("m"), F.lit(1)) == 1)).alias("unique"))
+        r = r.select(F.lit(c).alias("column"), "a_rows", "matched", "unique")
+        out = r if out is None else out.unionAll(r)
+    return out
+
+
+def schema_versions(tables: dict[str, DataFrame], column: str) -> DataFrame:
+    """``file, versions`` of the values of a version column, where a table has one."""
+    parts = [df.select(F.lit(n).alias("file"), F.col(column).cast("string").alias("v")) for n, df in tables.items() if column in df.columns]
+    return reduce(DataFrame.unionByName, parts).groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias("versions"))
+
+
+def file_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """``file, column, n, n_distinct, blanks`` over many tables at once."""
+    parts = []
+    for name, df in tables.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns if c != "_row"])
+        parts.append(df.select(F.lit(name).alias("file"), F.inline(cells)))
+    return reduce(DataFrame.unionByName, parts).groupBy("file", "column").agg(F.count("v").alias("n"), F.countDistinct("v").alias("n_distinct"), F.count_if(F.col("v") == "").alias("blanks"))

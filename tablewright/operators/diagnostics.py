@@ -272,3 +272,53 @@ def support_probe(df: DataFrame, success: Column, accept: float = 0.995, reject:
     verdict = F.when(rate >= accept, "accept").when(rate < reject, "reject")
     hit = t.select(F.col("_row"), rate.alias("rate"), verdict.alias("verdict")).where((F.col("_row") + 1 >= least) & F.col("verdict").isNotNull())
     return hit.agg(F.min_by(F.struct("_row", "rate", "verdict"), "_row").alias("x")).where("x is not null").select(F.col("x._row").alias("at"), F.round("x.rate", 6).alias("rate"), "x.verdict")
+
+
+def interpolated(df: DataFrame, column: str) -> DataFrame:
+    """``_row, low, high, middle, agrees`` of single gaps: the neighbours as bounds, their mean,
+    and whether the steps before and after it say the same."""
+    make = {f"p{k}": (lambda w, k=k: F.lag(column, k).over(w)) for k in (1, 2)} | {f"n{k}": (lambda w, k=k: F.lead(column, k).over(w)) for k in (1, 2)}
+    t = neighbours(df.select("_row", column), make, back=2, ahead=2).where(F.col(column).isNull() & F.col("p1").isNotNull() & F.col("n1").isNotNull())
+    forward, backward = 2 * F.col("p1") - F.col("p2"), 2 * F.col("n1") - F.col("n2")
+    same = F.coalesce(X.is_close(forward, backward), F.lit(False))
+    return t.select("_row", F.least("p1", "n1").alias("low"), F.greatest("p1", "n1").alias("high"), ((F.col("p1") + F.col("n1")) / 2).alias("middle"), same.alias("agrees"))
+
+
+def canonical_reuse(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows, forms, hit_rate``: rows whose canonical form another row has had."""
+    key = F.xxhash64(F.to_json(F.array(*[X.canonical(F.col(f"`{c}`").cast("string")) for c in columns])))
+    return df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("forms")).select("rows", "forms", F.round(1 - F.col("forms") / F.col("rows"), 6).alias("hit_rate"))
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, n, mean, low, high`` of the numbers of each column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
+    return df.select(F.inline(cells)).where("x is not null").groupBy("column").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def locale_repairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``_row, column, value, expected``: numbers of a column's decisive locale, written plainly."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    style = locale_profile(df, columns).select("column", "decisive").where("decisive in ('us', 'eu')")
+    t = df.select("_row", F.inline(cells)).join(F.broadcast(style), "column")
+    number = F.when(F.col("decisive") == "us", X.locale_number(F.col("value"), "us")).otherwise(X.locale_number(F.col("value"), "eu"))
+    return t.select("_row", "column", "value", X.fmt_num(number.cast("decimal(38,6)")).alias("expected")).where("expected is not null and expected <> value")
+
+
+def proportional_fills(df: DataFrame, columns: list[str], rows_least: int = 8) -> DataFrame:
+    """``_row, column, value, expected, witnesses``: blanks of a table of rank one.
+
+    Two columns are proportional when their ratio is the same in all rows, which one
+    aggregation tells of all pairs.  Two witnesses must give a blank the same value."""
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    x = lambda c: X.to_num(F.col(f"`{c}`").cast("string"))
+    ratio = [F.when(x(b) != 0, x(a) / x(b)) for a, b in pairs]
+    r = df.agg(*[z for i, q in enumerate(ratio) for z in (F.min(q).alias(f"l{i}"), F.max(q).alias(f"h{i}"), F.count(q).alias(f"n{i}"))]).first()
+    steady = [(a, b, (r[f"l{i}"] + r[f"h{i}"]) / 2) for i, (a, b) in enumerate(pairs) if r[f"n{i}"] >= rows_least and r[f"l{i}"] and r[f"h{i}"] - r[f"l{i}"] <= 1e-9 * abs(r[f"h{i}"])]
+    cells = [F.struct(F.lit(a).alias("column"), F.round(F.lit(q) * x(b), 6).alias("v")) for a, b, q in steady]
+    if not cells:
+        return df.select("_row", F.lit("").alias("column"), F.lit("").alias("value"), F.lit("").alias("expected"), F.lit(0).alias("witnesses")).where("false")
+    blank = {a: F.col(f"`{a}`").cast("string") == "" for a, _, _ in steady}
+    said = df.select("_row", F.explode(F.filter(F.array(*[F.when(blank[a], c) for (a, _, _), c in zip(steady, cells)]), lambda z: z.isNotNull() & z["v"].isNotNull())).alias("z")).select("_row", "z.column", "z.v")
+    out = said.groupBy("_row", "column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("witnesses")).where("witnesses >= 2 and high - low <= 1e-6 * greatest(abs(high), 1)")
+    return out.select("_row", "column", F.lit("").alias("value"), X.fmt_num(F.col("low").cast("decimal(38,6)")).alias("expected"), "witnesses")

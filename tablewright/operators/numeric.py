@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -137,9 +137,11 @@ def ranges(wide: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(cells)).where("x is not null").groupBy("column").agg(F.min("x").alias("low"), F.max("x").alias("high"))
 
 
-def votes(wide: DataFrame, relations: list[dict], keep: Column | None = None) -> DataFrame:
+def votes(wide: DataFrame, relations: list[dict]) -> DataFrame:
     """``_row, column, value, expected, relation``: cells that an equation contradicts or,
     where they are blank, gives.  Exact decimals; each relation by its index."""
+    if not relations:
+        return wide.sparkSession.createDataFrame([], "_row long, column string, value string, expected string, relation int")
     each = []
     for i, r in enumerate(relations):
         want = X.evaluate(r["kind"], [X.to_dec(F.col(f"`{s}`").cast("string")) for s in r["sources"]])

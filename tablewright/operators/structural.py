@@ -87,3 +87,27 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
 def sample(df: DataFrame, size: int, seed: str) -> DataFrame:
     """A sample that depends on the seed and row numbers alone."""
     return df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col("_row").cast("string")), 256)).orderBy("_h").limit(size).drop("_h")
+
+
+def distinct_witnesses(witnesses: DataFrame) -> DataFrame:
+    """One witness for each lineage of a cell: copies of one source count once."""
+    return witnesses.groupBy("_row", "column", F.coalesce("lineage", "source").alias("lineage")).agg(F.min("source").alias("source"), F.min("expected").alias("expected"))
+
+
+def relation_degrees(relations: DataFrame) -> DataFrame:
+    """``column, relations, families, stable`` of a frame ``relation, family, columns, stable``."""
+    each = relations.select("relation", "family", "stable", F.explode("columns").alias("column")).distinct()
+    return each.groupBy("column").agg(F.countDistinct("relation").alias("relations"), F.countDistinct("family").alias("families"), F.count_if("stable").alias("stable"))
+
+
+def cell_support(wide: DataFrame, votes: DataFrame) -> DataFrame:
+    """``column, cells, supported, share``: how many cells a relation can speak about."""
+    names = [c for c in wide.columns if c != "_row"]
+    cells = wide.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("cells")) for i, c in enumerate(names)])))
+    said = votes.groupBy("column").agg(F.countDistinct("_row").alias("supported"))
+    return cells.join(said, "column", "left").select("column", "cells", F.coalesce("supported", F.lit(0)).alias("supported"), F.round(F.coalesce("supported", F.lit(0)) / F.col("cells"), 6).alias("share"))
+
+
+def selection_ledger(tried: dict[str, int], accepted: dict[str, int]) -> list[dict]:
+    """By family: how many relations were tried and kept, and how many chance would keep at 5 per cent."""
+    return [{"family": f, "tried": n, "accepted": accepted.get(f, 0), "by_chance": round(0.05 * n, 6)} for f, n in sorted(tried.items())]

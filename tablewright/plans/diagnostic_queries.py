@@ -304,12 +304,11 @@ def common_cause_runs(spark: SparkSession, d: str) -> DataFrame:
     return structural.common_runs(issues(spark, d))
 
 
-@query("""SELECT 'removed' AS change, 'p' || p_partkey AS relation FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'added', 'q' || p_partkey FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'stable', 'p' || p_partkey FROM part WHERE p_partkey % 3 <> 0""")
+@query("""WITH a AS (SELECT DISTINCT 'r' || p_partkey AS relation FROM part), b AS (SELECT DISTINCT 'r' || (s_suppkey * 3) AS relation FROM supplier)
+SELECT 'removed' AS change, relation FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'added', relation FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'stable', relation FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
 def relation_drift(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey")
-    name = lambda x: F.concat(F.lit(x), F.col("p_partkey").cast("string")).alias("relation")
-    new = p.where("p_partkey % 3 <> 0").select(name("p")).unionAll(p.where("p_partkey % 3 = 1").select(name("q")))
-    return structural.drift(p.select(name("p")), new)
+    name = lambda x: F.concat(F.lit("r"), x.cast("string")).alias("relation")
+    return structural.drift(table(spark, d, "part").select(name(F.col("p_partkey"))), table(spark, d, "supplier").select(name(F.col("s_suppkey") * 3)))
 
 
 @query("""SELECT s_suppkey AS _row, s_name AS name FROM supplier ORDER BY sha256('seed:' || s_suppkey) LIMIT 20""")

@@ -10,7 +10,7 @@ from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
-from ..operators import bundle, overlay
+from ..operators import alignment, bundle, overlay
 from ..sources import csv as source
 from . import fixpoint
 
@@ -26,14 +26,23 @@ REASONS = {
 
 
 def repair_file(spark: SparkSession, path: str, output: str, report: str | None = None, config: fixpoint.Config = fixpoint.Config(), autoconfigure: bool = True, references: dict | None = None) -> dict:  # noqa: B008
-    wide, header, dialect = source.read_wide(spark, path)
+    raw, header, dialect = source.read_raw(spark, path)
     digest_in = source.sha256(path)
+    aligned = [r.asDict() for r in alignment.realigned(raw, len(header)).collect()] if not source.shape_issues(raw, header).isEmpty() else []
+    wide = source.widen(raw, header)
+    if aligned:
+        rows = spark.createDataFrame([(r["_row"], r["new_cells"]) for r in aligned], "_row long, _cells array<string>")
+        wide = source.widen(raw.join(rows.select("_row"), "_row", "left_anti").unionByName(rows), header)
+        wide = alignment.affine_filled(wide, [(r["_row"], wide.columns[r["position"] + 1]) for r in aligned if r["operation"] == "insert_blank"])
     result = fixpoint.repair(wide, config, references, autoconfigure)
     edits = [r.asDict() for r in result.edits.orderBy("cycle", "_row", "column").collect()]
     names = [c for c in result.table.columns if c != "_row"]
     renamed = {i: new for code, i, _, new in source.header_issues(header) if code == "header_outer_whitespace" and new}
     new_header = [renamed.get(i, h) for i, h in enumerate(header)]
-    out = {"input_sha256": digest_in, "format": dialect.contract(), "header": header, "new_header": new_header, "columns": names, "status": result.status, "score_before": list(result.score_before), "score_after": list(result.score_after), "cycles": result.cycles, "replay": result.replay, "undo": result.undo, "relations": result.relations, "edits": edits, "unrepaired": [{"code": r["code"], "count": r["count"], "reason": REASONS.get(r["code"], "evidence is too weak")} for r in result.issues.groupBy("code").count().orderBy("code").collect()], "config": {k: v for k, v in asdict(config).items() if k != "rules"}}
+    out = {"input_sha256": digest_in, "format": dialect.contract(), "header": header, "new_header": new_header, "columns": names, "realigned": [{"row": r["_row"], "operation": r["operation"], "position": r["position"]} for r in aligned], "status": result.status, "score_before": list(result.score_before), "score_after": list(result.score_after), "cycles": result.cycles, "replay": result.replay, "undo": result.undo, "relations": result.relations, "edits": edits, "unrepaired": [{"code": r["code"], "count": r["count"], "reason": REASONS.get(r["code"], "evidence is too weak")} for r in result.issues.groupBy("code").count().orderBy("code").collect()], "config": {k: v for k, v in asdict(config).items() if k != "rules"}}
+    if aligned:
+        old = {r["_row"]: r["_cells"] for r in raw.where(raw["_row"].isin([r["_row"] for r in aligned])).collect()}
+        out["ragged"] = [[k, v] for k, v in sorted(old.items())]
     if not config.dry_run:
         deleted = {e["_row"] for e in edits if e["kind"] == "delete_row"}
         if deleted:
@@ -68,6 +77,12 @@ def undo_file(spark: SparkSession, repaired: str, report: str, output: str) -> s
         wide = overlay.apply(wide, overlay.invert(edits))
     if gone:
         wide = wide.unionByName(spark.createDataFrame([tuple(r) for r in told["deleted"]], wide.schema))
+    if told.get("ragged"):
+        n = len(told["columns"])
+        old = spark.createDataFrame([(k, *(v + [None] * n)[:n]) for k, v in told["ragged"] if len(v) <= n], wide.schema)
+        if any(len(v) > n for _, v in told["ragged"]):
+            raise ValueError("rows with surplus cells can't be taken back by columns")
+        wide = wide.join(old.select("_row"), "_row", "left_anti").unionByName(old)
     return source.write_exact(wide, told["header"], dialect, output)
 
 

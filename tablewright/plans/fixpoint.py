@@ -11,12 +11,13 @@ folder, so that the plan doesn't grow with the cycles.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cut
-from ..operators import declared, local, mapping, numeric, overlay, scoped, sequential, temporal
+from ..operators import declared, diagnostics, local, mapping, numeric, overlay, scoped, sequential, temporal
 
 WEIGHT = {"error": 10, "warning": 3, "info": 1}
 
@@ -38,6 +39,8 @@ class Config:
     temporal: bool = False
     scoped: bool = False
     sequential: bool = False
+    locale: bool = False
+    rank_one: bool = False
     min_rows: int = 12
     confidence: float = 0.95
     dry_run: bool = False
@@ -62,7 +65,7 @@ def auto(wide: DataFrame, rows: int, config: Config) -> Config:
     names = [c for c in wide.columns if c != "_row"]
     numbers = numeric.numeric_columns(wide, names)
     wide_enough, long_enough = len(numbers) >= 3, rows >= config.min_rows
-    return replace(config, numeric=config.numeric or (wide_enough and long_enough), discover_mappings=config.discover_mappings or (len(names) > len(numbers) and rows >= 2 * config.min_rows), sequential=config.sequential or (len(numbers) >= 2 and rows >= 16), temporal=config.temporal or (len(numbers) >= 1 and long_enough), scoped=config.scoped or (len(numbers) >= 2 and len(names) > len(numbers) and rows >= 2 * config.min_rows))
+    return replace(config, numeric=config.numeric or (wide_enough and long_enough), discover_mappings=config.discover_mappings or (len(names) > len(numbers) and rows >= 2 * config.min_rows), sequential=config.sequential or (len(numbers) >= 2 and rows >= 16), temporal=config.temporal or (len(numbers) >= 1 and long_enough), scoped=config.scoped or (len(numbers) >= 2 and len(names) > len(numbers) and rows >= 2 * config.min_rows), locale=True, rank_one=config.rank_one or (wide_enough and long_enough))
 
 
 def learn(wide: DataFrame, rows: int, config: Config) -> dict[str, list[dict]]:
@@ -128,6 +131,11 @@ def analyze(wide: DataFrame, relations: dict[str, list[dict]], config: Config, r
             add(sequential.projections(wide, r), "sequential", "missing_sequential_value_reconstructible", "error", True)
     for r in relations.get("scoped", []):
         add(scoped.projections(wide, r), "scoped", "missing_value_reconstructible_in_scope", "error", True)
+    names = [c for c in wide.columns if c != "_row"]
+    if config.locale:
+        add(diagnostics.locale_repairs(wide, names), "locale", "locale_numeric_canonicalization", "info", True)
+    if config.rank_one and len(numbers := numeric.numeric_columns(wide, names)) >= 3:
+        add(diagnostics.proportional_fills(wide, numbers), "rank_one", "rank1_missing_reconstruction", "error", True)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -150,6 +158,41 @@ def edits_of(issues: DataFrame) -> DataFrame:
     return sets.unionByName(gone)
 
 
+SEARCH, TRIALS = 10, 56
+
+
+def search(table: DataFrame, batch: DataFrame, score: tuple[int, int], rows: int, config: Config, references: dict[str, DataFrame] | None):  # noqa: ANN201
+    """The best of single edits, of edits with what they lead to, and of pairs, where up to
+    ``SEARCH`` edits are left.
+
+    A step may pay only together with the next: a marker made blank can make two rows
+    equal, of which one then goes."""
+    few = batch.orderBy("kind", "_row", "column").limit(SEARCH + 1).collect()
+    if len(few) > SEARCH:
+        return None
+
+    def tried(trial: DataFrame) -> tuple:
+        after = overlay.apply(table, trial)
+        learnt = learn(after, rows, config)
+        found = analyze(after, learnt, config, references)
+        return objective(found), trial, after, learnt, found
+
+    one = lambda pick: table.sparkSession.createDataFrame([tuple(r) for r in pick], batch.schema)
+    best = None
+    for size in (1, 2):
+        for pick in list(combinations(few, size))[:TRIALS]:
+            got = tried(one(pick))
+            if got[0] >= score and size == 1:
+                then = edits_of(got[4]).join(got[1].select("_row", "column"), ["_row", "column"], "left_anti").select(batch.columns)
+                got = min(got, tried(cut(got[1].unionByName(then))), key=lambda x: x[0])
+            if got[0] < (best[0] if best else score):
+                best = got
+        if best:
+            got, trial, after, learnt, found = best
+            return trial, cut(after), learnt, cut(found), got
+    return None
+
+
 def repair(wide: DataFrame, config: Config = Config(), references: dict[str, DataFrame] | None = None, autoconfigure: bool = False) -> Result:  # noqa: B008
     spark = wide.sparkSession
     text = cut(wide.select("_row", *[F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns if c != "_row"]))
@@ -176,6 +219,11 @@ def repair(wide: DataFrame, config: Config = Config(), references: dict[str, Dat
                 log = cut(log.unionByName(trial.withColumn("cycle", F.lit(cycle))))
                 table, relations, issues, score, accepted = after, found_relations, found, got, True
                 break
+        if not accepted and names != [None]:
+            found = search(table, batch, score, rows, config, references)
+            if found is not None:
+                trial, table, relations, issues, score = found
+                log, accepted = cut(log.unionByName(trial.withColumn("cycle", F.lit(cycle)))), True
         if not accepted:
             break
     replayed, undone = text, table

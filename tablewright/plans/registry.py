@@ -49,8 +49,8 @@ LEDGER = """SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_supp
   CAST(l_quantity AS INT) * CAST(2 + l_partkey % 11 AS INT) + CAST(2 + l_suppkey % 3 AS INT) AS total
 FROM lineitem"""
 
-#: the ledger's rows by number: lines differ in these four keys
-NUMBERED = "row_number() OVER (ORDER BY k1, k2, k3, k4) - 1"
+#: the ledger's rows by number; lines that are equal in all of these are equal
+NUMBERED = "row_number() OVER (ORDER BY k1, k2, k3, k4, qty) - 1"
 
 #: orders with their customer's nation, wrong in one of 37 rows and blank in one of 41
 NATIONS = """SELECT o_orderkey AS r, CAST(o_custkey AS VARCHAR(20)) AS customer,

@@ -32,7 +32,7 @@ def ledger(spark: SparkSession, d: str, numbered: bool = False, corrupt: bool =
     wrong = F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20 == 0, 7).otherwise(0) if corrupt else F.lit(0)
     keys = [F.col(c).alias(n) for c, n in (("l_orderkey", "k1"), ("l_linenumber", "k2"), ("l_partkey", "k3"), ("l_suppkey", "k4"))]
     out = t.select(*keys, qty.alias("qty"), price.alias("price"), (qty * price + wrong).alias("subtotal"), fee.alias("fee"), (qty * price + fee).alias("total"))
-    return with_row(out, "k1", "k2", "k3", "k4") if numbered else out
+    return with_row(out, "k1", "k2", "k3", "k4", "qty") if numbered else out
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def canonical_duplicate_families(spark: SparkSession, d: str) -> DataFrame:
     return local.duplicate_families(t, ["a", "b"])
 
 
-@query(f"""WITH t AS (SELECT {NUMBERED} AS _row, k1, k2 FROM ({LEDGER}))
+@query(f"""WITH t AS (SELECT {NUMBERED} AS _row, k1, k2 FROM ({LEDGER}) l)
 SELECT * FROM (SELECT _row, k1, k2, min(_row) OVER (PARTITION BY k1, k2) AS first FROM t) WHERE _row > first""")
 def unique_key_violation(spark: SparkSession, d: str) -> DataFrame:
     return declared.unique_key(ledger(spark, d, numbered=True).select("_row", "k1", "k2"), ["k1", "k2"])
