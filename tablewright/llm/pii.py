@@ -52,7 +52,7 @@ def classes(text: str) -> np.ndarray:
     return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 3).astype(np.uint8)
 
 
-# -- labelled spans ---------------------------------------------------------------------
+# === labelled spans ===
 
 _SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "è", "ç", "ü", "ö", "ñ", "ó", "ción", "eau", "sch", "ung", "lich", "ble", "ing", "mail", "com", "www"]
 
@@ -148,7 +148,7 @@ class Samples:
         return ids, tags
 
 
-# -- the network ------------------------------------------------------------------------
+# === the network ===
 
 #: A kind goes on only after itself.
 ALLOWED = np.ones((TAGS, TAGS), bool)
@@ -285,7 +285,7 @@ def decode(w: Weights, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-# -- whole texts ------------------------------------------------------------------------
+# === whole texts ===
 
 Span = tuple[int, int, int]
 

@@ -31,7 +31,7 @@ def edited(r: random.Random, text: str, share: float) -> str:
     return " ".join(r.choice(VOCABULARY) if r.random() < share else w for w in text.split())
 
 
-# -- near duplicates ----------------------------------------------------------------------
+# === near duplicates ===
 
 
 def one_signature(elements: list[int], places: int) -> list[int]:
@@ -92,7 +92,7 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
-# -- decontamination ----------------------------------------------------------------------
+# === decontamination ===
 
 
 def least_edits(item: str, text: str) -> int:
@@ -139,7 +139,7 @@ def test_contaminated_against_dynamic_programming(spark):
     assert decontaminate.contaminated(documents(spark, texts), bench.limit(0)).count() == 0
 
 
-# -- likelihood ---------------------------------------------------------------------------
+# === likelihood ===
 
 
 def test_lattice_sums_all_segmentations():
@@ -179,7 +179,7 @@ def test_likelihood_cases(spark):
     assert got[2]["log_prob"] != 0 and lattice.likelihood(df.limit(0)).count() == 0
 
 
-# -- quality rules ------------------------------------------------------------------------
+# === quality rules ===
 
 
 def test_quality_by_hand(spark):
@@ -206,7 +206,7 @@ def test_quality_by_hand(spark):
     assert judged == df.columns
 
 
-# -- PII ----------------------------------------------------------------------------------
+# === PII ===
 
 
 def test_gradients_are_right():
@@ -271,7 +271,7 @@ def test_personal_data_cases(spark):
     assert pii.personal_data(df.limit(0)).count() == 0 and pii.masked(df.limit(0)).count() == 0
 
 
-# -- substrings ---------------------------------------------------------------------------
+# === substrings ===
 
 
 def repeated_words(texts: dict, least: int) -> dict:
@@ -349,7 +349,7 @@ def test_hash_mixes():
     assert len(np.unique(x)) == 1000
 
 
-# -- pipeline -----------------------------------------------------------------------------
+# === pipeline ===
 
 
 def by_stages(spark, df, sf_dir):
