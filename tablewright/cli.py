@@ -16,29 +16,21 @@ from .sources import csv as source
 from .streaming import local as stream
 
 
+FLAGS = {"undo": "take a repair back by its report", "bundle": "input is a manifest of several tables", "stream": "the stateless repair only", "no-auto": "only what is asked for", "dry-run": "report without writing", "numeric": "", "mappings": "", "temporal": "", "scoped": "", "sequential": "", "remove-duplicates": ""}
+TEXTS = {"output": "", "report": "", "rules": "declared rules, JSON", "export-rules": "where learnt relations go"}
+NUMBERS = {"formula-terms": 2, "determinant-columns": 1, "confidence": 0.95, "max-cycles": 8}
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tablewright", description="Find and repair inconsistencies in tables.")
-    p.add_argument("input")
-    p.add_argument("--output")
-    p.add_argument("--report")
-    p.add_argument("--rules", help="declared rules, JSON")
-    p.add_argument("--undo", action="store_true", help="take a repair back by its report")
-    p.add_argument("--bundle", action="store_true", help="input is a manifest of several tables")
-    p.add_argument("--stream", action="store_true", help="the stateless repair only")
-    p.add_argument("--no-auto", action="store_true", help="only what is asked for")
-    p.add_argument("--dry-run", action="store_true")
-    p.add_argument("--numeric", action="store_true")
-    p.add_argument("--mappings", action="store_true")
-    p.add_argument("--temporal", action="store_true")
-    p.add_argument("--scoped", action="store_true")
-    p.add_argument("--sequential", action="store_true")
-    p.add_argument("--remove-duplicates", action="store_true")
-    p.add_argument("--formula-terms", type=int, default=2)
-    p.add_argument("--determinant-columns", type=int, default=1)
-    p.add_argument("--confidence", type=float, default=0.95)
-    p.add_argument("--max-cycles", type=int, default=8)
-    p.add_argument("--export-rules")
-    return p
+    out = argparse.ArgumentParser("tablewright", description="Find and repair inconsistencies in tables.")
+    out.add_argument("input")
+    for name, text in TEXTS.items():
+        out.add_argument(f"--{name}", help=text)
+    for name, text in FLAGS.items():
+        out.add_argument(f"--{name}", action="store_true", help=text)
+    for name, value in NUMBERS.items():
+        out.add_argument(f"--{name}", type=type(value), default=value)
+    return out
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -68,8 +60,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({k: told[k] for k in ("status", "score_before", "score_after", "cycles", "replay", "undo")}))
         return 0 if told["replay"] and told["undo"] else 2
     except (ValueError, OSError, RuntimeError) as e:
-        print(e, file=sys.stderr)
-        return 1
+        sys.stderr.write(f"{e}\n")
+    return 1
 
 
 if __name__ == "__main__":

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_MARKERS = ("na", "n/a", "null", "none", "nil", "missing")
-TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
+NULL_MARKERS = ("missing", "nil", "none", "null", "n/a", "na")
+TRUE_WORDS, FALSE_WORDS = ("t", "true", "y", "yes"), ("f", "false", "n", "no")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER = r"^[+-]?\d+$"
 DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
@@ -144,6 +144,3 @@ def solve(kind: str, sources: list[Column], target: Column, missing: int) -> Col
         return s[0] + s[1] - y if missing == 2 else y + s[2] - s[1 - missing]
     sign = 1 if kind == "product_plus" else -1
     return (y - s[0] * s[1]) * sign if missing == 2 else div(y - s[2] * sign, s[1 - missing])
-
-
-SUMMARY_KEYS = ("sum", "difference", "product", "ratio", "sum3", "sum_minus", "product_plus", "product_minus")

@@ -85,8 +85,9 @@ def canonical_header(header: list[str]) -> list[tuple[int, str, str]]:
     out = []
     for i, h in enumerate(header):
         base = "_".join(filter(None, re.split(r"\W+", h.strip()))) or f"column_{i + 1}"
-        seen[base] += 1
-        new = base if seen[base] == 1 else f"{base}__{seen[base]}"
+        seen.update([base])
+        again = seen[base]
+        new = f"{base}__{again}" if again > 1 else base
         if new != h:
             out.append((i, h, new))
     return out

@@ -265,7 +265,7 @@ def rank_one(cells: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return out.where((F.col("witnesses") >= 2) & (F.col("high") - F.col("low") <= tolerance * F.greatest(F.abs("m"), F.lit(1.0)))).select("i", "k", F.round("m", 6).alias("expected"), "witnesses")
 
 
-def support_probe(df: DataFrame, success: Column, accept: float = 0.995, reject: float = 0.80, least: int = 16) -> DataFrame:
+def support_probe(df: DataFrame, success: Column, least: int = 16, reject: float = 0.8, accept: float = 0.995) -> DataFrame:
     """``at, rate, verdict``: the first row, from ``least`` on, at which a share decides."""
     t = running_sum(df.withColumn("_s", success.cast("int")), F.col("_s"), "_sum")
     rate = F.col("_sum") / (F.col("_row") + 1)

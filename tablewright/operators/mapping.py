@@ -50,7 +50,8 @@ def judge(stats: dict[str, dict], normalized: dict, confidence: float = CONFIDEN
     none = {"considered": 0, "repeated_groups": 0, "confidence": 0.0, "coverage": 0.0, "null_rate": 0.0}
     raw = stats.get("all", none)
     parts = [stats[s] for s in SCOPES[1:] if s in stats and stats[s]["considered"] >= max(4, min_rows // 3) and stats[s]["repeated_groups"] >= 1]
-    probe = min(0.999999, confidence + min(0.02, max(0.005, tolerance / 2 if tolerance else 0.01)))
+    margin = 0.01 if not tolerance else sorted((0.005, tolerance / 2, 0.02))[1]
+    probe = min(confidence + margin, 1 - 1e-6)
     out = []
     if not (raw["considered"] >= min_rows and raw["repeated_groups"] >= 2 and raw["confidence"] >= confidence and raw["coverage"] >= coverage):
         out.append("base_relation_not_strong_enough")

@@ -37,7 +37,9 @@ def candidates(columns: list[str], terms: int = 2) -> list[Relation]:
         if terms >= 3:
             for a, b, c in combinations(rest, 3):
                 out.append((target, "sum3", (a, b, c)))
-                out += [(target, k, s) for s in ((a, b, c), (a, c, b), (b, c, a)) for k in ("sum_minus", "product_plus", "product_minus")]
+                for last in (a, b, c):  # each may be the one that is added or taken off
+                    first = tuple(x for x in (a, b, c) if x != last)
+                    out += [(target, k, (*first, last)) for k in ("product_minus", "product_plus", "sum_minus")]
     return out
 
 

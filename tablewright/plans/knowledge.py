@@ -24,10 +24,14 @@ def validated(config):  # noqa: ANN001, ANN201
     return config
 
 
+PARTS = {"balance", "dependent", "determinants", "duration", "end", "inflow", "kind", "outflow", "scope", "source", "sources", "start", "target", "unit"}
+
+
 def identity(family: str, relation: dict) -> str:
     """A short id of a relation by what it says, not by how well it holds."""
-    what = {k: relation[k] for k in ("target", "kind", "sources", "determinants", "dependent", "start", "end", "duration", "unit", "balance", "inflow", "outflow", "scope", "source") if k in relation}
-    return hashlib.sha1(json.dumps([family, what], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    what = {k: relation[k] for k in sorted(PARTS) if k in relation}
+    text = json.dumps([family, what], default=str, sort_keys=True)
+    return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
 
 class Knowledge:
@@ -123,7 +127,7 @@ def touched(relations: dict[str, list[dict]], columns: Iterable[str]) -> dict[st
 def graph(relations: dict[str, list[dict]]) -> dict[str, list]:
     """Columns, and relations as rows of a sparse matrix over them."""
     ids, rows = [], []
-    columns = sorted({x for rs in relations.values() for r in rs for k in ("target", "dependent", "start", "end", "duration", "balance", "inflow", "outflow", "scope", "source") if (x := r.get(k))} | {c for rs in relations.values() for r in rs for k in ("sources", "determinants") for c in r.get(k, [])})
+    columns = sorted({x for rs in relations.values() for r in rs for k in PARTS - {"kind", "unit", "sources", "determinants"} if (x := r.get(k))} | {c for rs in relations.values() for r in rs for k in ("sources", "determinants") for c in r.get(k, [])})
     at = {c: i for i, c in enumerate(columns)}
     for f, rs in sorted(relations.items()):
         for r in rs:

@@ -32,7 +32,7 @@ def view(df: DataFrame, row: str, **columns: Column | str) -> DataFrame:
     return df.select(F.col(row).cast("long").alias("_row"), *[(F.expr(c) if isinstance(c, str) else c).cast("string").alias(n) for n, c in columns.items()])
 
 
-# -- tables with planted defects, the same in both dialects --------------------------------
+# === tables with planted defects, the same in both dialects ===
 
 CUSTOMERS = """SELECT c_custkey AS r,
   CASE WHEN c_custkey % 7 = 0 THEN '  ' || c_name || ' ' ELSE c_name END AS name,

@@ -49,7 +49,7 @@ def cell_outer_whitespace(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS ({CUSTOMERS}), l AS (SELECT r, 'segment' AS "column", segment AS value FROM t UNION ALL SELECT r, 'crowded', crowded FROM t),
-m AS (SELECT *, lower(trim(value)) IN ('na', 'n/a', 'null', 'none', 'nil', 'missing') AS marker FROM l),
+m AS (SELECT *, lower(trim(value)) IN ('missing', 'nil', 'none', 'null', 'n/a', 'na') AS marker FROM l),
 ok AS (SELECT "column", count(*) FILTER (WHERE trim(value) = '') >= 1 AND count(*) FILTER (WHERE NOT marker AND trim(value) <> '') >= 3
   AND count(*) FILTER (WHERE marker) <= greatest(2, floor(count(*) FILTER (WHERE NOT marker AND trim(value) <> '') / 5)) AS repairable FROM m GROUP BY 1)
 SELECT r AS _row, "column", value, '' AS expected, repairable FROM m JOIN ok USING ("column") WHERE marker""")
@@ -58,7 +58,7 @@ def null_marker_contextual(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS ({CUSTOMERS}), l AS (SELECT r AS _row, 'active' AS "column", active AS value,
-  CASE WHEN lower(trim(active)) IN ('true', 'yes', 'y', 't') THEN 'true' WHEN lower(trim(active)) IN ('false', 'no', 'n', 'f') THEN 'false' END AS expected FROM t)
+  CASE WHEN lower(trim(active)) IN ('t', 'true', 'y', 'yes') THEN 'true' WHEN lower(trim(active)) IN ('f', 'false', 'n', 'no') THEN 'false' END AS expected FROM t)
 SELECT * FROM l WHERE value <> expected""")
 def boolean_spelling(spark: SparkSession, d: str) -> DataFrame:
     return local.boolean_spelling(customers(spark, d), ["name", "active"])
@@ -121,7 +121,7 @@ SELECT _row, 'length' AS "column", value, CASE WHEN _row % 4 = 2 THEN 'unknown_u
 def unit_normalize(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
     v = F.when(k % 4 == 0, F.concat(n, F.lit(" cm"))).when(k % 4 == 1, F.concat(n, F.lit("mm"))).when(k % 4 == 2, F.concat(n, F.lit(" cubit"))).otherwise(F.concat(n, F.lit(" m")))
-    return declared.units(table(spark, d, "part").select(k.alias("_row"), v.alias("length")), "length", "m", {"cm": 0.01, "mm": 0.001, "m": 1})
+    return declared.units(table(spark, d, "part").select(k.alias("_row"), v.alias("length")), "length", "m", {"m": 1, "mm": 0.001, "cm": 0.01})
 
 
 @query("""WITH t AS (SELECT o_orderkey AS _row, CASE WHEN o_orderkey % 19 = 4 THEN o_custkey + 100000000 ELSE o_custkey END AS c FROM orders)
@@ -192,7 +192,7 @@ def unit_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS ({CUSTOMERS}), x AS (SELECT r, {_STRIP('name')} AS name, CASE WHEN lower(trim(segment)) = 'n/a' THEN '' ELSE trim(segment) END AS segment,
- CASE WHEN lower(trim(active)) IN ('true', 'yes', 'y', 't') THEN 'true' WHEN lower(trim(active)) IN ('false', 'no', 'n', 'f') THEN 'false' ELSE trim(active) END AS active FROM t)
+ CASE WHEN lower(trim(active)) IN ('t', 'true', 'y', 'yes') THEN 'true' WHEN lower(trim(active)) IN ('f', 'false', 'n', 'no') THEN 'false' ELSE trim(active) END AS active FROM t)
 SELECT r AS _row, name, segment, active FROM x""")
 def stream_local_repair(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("_row", *[local.canonical_cell(F.col(c), c == "active").alias(c) for c in ("name", "segment", "active")])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-DELIMITERS = (",", ";", "\t", "|")
+DELIMITERS = tuple(",;\t|")
 PROBE = 1 << 16
 csv.field_size_limit(1 << 30)
 
@@ -38,9 +38,10 @@ class Dialect:
 
 
 def line_terminator(text: str) -> str:
-    if "\r\n" in text:
+    pairs, returns, feeds = (text.count(x) for x in ("\r\n", "\r", "\n"))
+    if pairs:
         return "\r\n"
-    return "\r" if "\r" in text and "\n" not in text else "\n"
+    return "\r" if returns and not feeds else "\n"
 
 
 def delimiter_of(text: str) -> str:
@@ -157,8 +158,8 @@ def widen(raw: DataFrame, header: list[str]) -> DataFrame:
     names = []
     for i, h in enumerate(header):
         base = h or f"column_{i + 1}"
-        seen[base] += 1
-        names.append(base if seen[base] == 1 else f"{base}__{seen[base]}")
+        seen.update([base])
+        names.append(f"{base}__{seen[base]}" if seen[base] > 1 else base)
     return raw.select("_row", *[F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 

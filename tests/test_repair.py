@@ -136,7 +136,8 @@ def test_bundle(spark, tmp_path):
         f.write("customer_id,country\n" + "".join(f"C{i},{'FR' if i % 2 else 'DE'}\n" for i in range(20)))
     with open(tmp_path / "orders.csv", "w") as f:
         f.write("order_id,customer_id,country\n" + "".join(f"O{i},C{i % 20},{'XX' if i in (7, 40) else 'FR' if i % 20 % 2 else 'DE'}\n" for i in range(100)))
-    (tmp_path / "m.json").write_text(json.dumps({"datasets": [{"name": "customers", "input": "customers.csv"}, {"name": "orders", "input": "orders.csv"}]}))
+    manifest = {"datasets": [{"input": f"{n}.csv", "name": n} for n in ("customers", "orders")]}
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
     out = tmp_path / "out"
     out.mkdir()
     told = files.repair_bundle(spark, str(tmp_path / "m.json"), str(out))

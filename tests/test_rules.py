@@ -72,7 +72,7 @@ def test_declared_rules(spark):
     assert cells(declared.dependency(t, ["k"], "city")) == {(2, "city", "Paris")}
     assert declared.dependency(t, ["k"], "city", min_support=4).count() == 0
     assert cells(declared.formula(t, "total", "product", ["qty", "price"])) == {(1, "total", "6")}
-    assert {(r["_row"], r["code"], r["expected"]) for r in declared.units(t, "len", "m", {"cm": 0.01, "m": 1, "mm": 0.001}).collect()} == {(0, "noncanonical_unit", "0.05 m"), (2, "unknown_unit", None), (4, "noncanonical_unit", "0.01 m")}
+    assert {(r["_row"], r["code"], r["expected"]) for r in declared.units(t, "len", "m", {"mm": 0.001, "m": 1, "cm": 0.01}).collect()} == {(0, "noncanonical_unit", "0.05 m"), (2, "unknown_unit", None), (4, "noncanonical_unit", "0.01 m")}
     assert {r["_row"] for r in declared.unique_key(t, ["k"]).collect()} == {1, 2, 4}
     assert {r["_row"] for r in declared.orphans(t, "city", wide(spark, "c", ("Paris",), ("Rome",)), "c").collect()} == {2, 4}
     assert {r["_row"] for r in declared.allowed(t, "city", ["Paris", "Rome"]).collect()} == {2, 4}
