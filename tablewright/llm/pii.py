@@ -108,7 +108,7 @@ class Samples:
     def window(self, size: int) -> tuple[str, list[tuple[int, int, int]]]:
         r, text, spans = self.r, "", []
         # a text ends of its own or is cut by the window, never cut and then padded
-        ends = r.random() < 0.3
+        ends = r.random() < 0.3 and size > 80
         long = int(r.integers(4, size - 70)) if ends else size + 40
         noise = self.pick("", "", "", "!!", "###", "%%%", "***", "$$$", "&&&", "|")
         while len(text) < long:
