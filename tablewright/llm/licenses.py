@@ -1,16 +1,22 @@
 """License scan by conditional compression.
 
-A text is cut in units, lines and sentences.  A candidate block is a run of units with
-a cue (``license``, ``copyright``, ...), with up to two units without one between.  Each
-block is compressed by zstandard alone and once with each template as raw dictionary;
-templates are ranked by how much smaller the block becomes.  The winner is confirmed by
-the exact differences in wording: few of its words may be missing, and none that changes
-what it grants (versions, numbers, ``no``, ``non``, ...), on either side.
+A candidate block is compressed by zstandard alone and once with each template as raw
+dictionary; templates are ranked by how much smaller the block becomes.  The winner is
+confirmed by the exact differences in wording: few of its words may be missing, and none
+that changes what it grants (versions, numbers, ``no``, ``non``, ...), on either side.
+
+Candidates come in two ways.  By wording: a template of n words that may lack and add
+d = n / 10 is cut in 2 d + 1 pieces, of which a notice that can be confirmed holds one word
+for word, whatever line ends and comment marks are between the words.  Around each piece
+found, the stretch of the template's words is a block; of those that overlap and are
+confirmed the one of the longest template stays.  By cue (``license``, ``copyright``, ...):
+a text is cut in units, lines and sentences, and a run of units with a cue, with up to two
+without one between, is a block where no confirmed notice lies in it.
 
 Cases: a null or empty text has no block; a block of any length is compressed whole; ties
 in size go to the template of fewer differing words, then the first by name; a block
 that equals no template is reported as not confirmed with its nearest; a text with many
-notices gives a row for each; repeated rows and ids stay separate; null ids stay null;
+notices gives a row for each, also next to one another; repeated rows and ids stay separate; null ids stay null;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -19,15 +25,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING_SHARE, LEVEL = 0.1, 3
-CUE = r"licen[sc]|lizen[sz]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|spdx"
-_CUE, _UNIT, _WORD = re.compile(CUE, re.I), re.compile(r"\n+|(?<=[.!?;])\s+"), re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
+CUE = r"licen[sc]|lizen[sz]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|spdx|permission to use|free software|free and unencumbered"
+#: A line may end after a hyphen within a word; ``v.`` ends no sentence.
+_CUE, _UNIT, _WORD = re.compile(CUE, re.I), re.compile(r"\n+|(?<=[.!?;])(?<!\b[vV]\.)\s+"), re.compile(r"[^\W_]+(?:(?:[.']|-(?:[^\S\n]*\n[^\S\n]*(?:[*#;/%|>]+[^\S\n]+)?)?)[^\W_]+)*")
+_BROKEN = re.compile(r"-\s[^\w]*")
 _GRANTS = re.compile(r"\d|^(?:no|non|not|without|by|sa|nc|nd|by-.*|noncommercial|sharealike|noderivatives|lesser|affero|mit|apache|bsd|gnu|gpl|mozilla|isc|unlicense|cc0?|commons)$")
 
 TEMPLATES = {
@@ -81,6 +90,32 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
         yield run[0], text[run[0] : run[1]]
 
 
+def words_of(text: str) -> list[str]:
+    return [_BROKEN.sub("-", w) for w in _WORD.findall(text.lower())]
+
+
+def pieces(words: list[str]) -> list[tuple[int, list[str]]]:
+    """Place and words of the pieces of a template; each difference harms one at most."""
+    n = len(words)
+    count = 2 * int(MISSING_SHARE * n) + 1
+    cuts = [n * i // count for i in range(count + 1)]
+    return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def longest_part(words: list[str]) -> str:
+    """A run of letters or digits that each text with these words holds."""
+    return max((x for w in words for x in re.split(r"[.\-']", w)), key=lambda x: (x not in ("this", "under"), len(x)))
+
+
+def may_hold(text: Column, templates: dict[str, str]) -> Column:
+    """Holds for each text with a candidate block.  Pieces with a cue are left to the cues."""
+    parts = sorted({longest_part(p) for t in templates.values() for _, p in pieces(words_of(t)) if not any(_CUE.search(w) for w in p)})
+    out, low = text.rlike(f"(?i){CUE}"), F.lower(text)
+    for part in parts:
+        out = out | low.contains(part)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
@@ -89,7 +124,12 @@ class Scanner:
             text = templates[name]
             shared = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.with_template[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.words[name] = _WORD.findall(text.lower())
+            self.words[name] = words_of(text)
+        # by the part to look for first: the pieces that hold it
+        self.seeds: dict[str, list[tuple[str, int, list[str]]]] = {}
+        for name, words in self.words.items():
+            for at, piece in pieces(words):
+                self.seeds.setdefault(longest_part(piece), []).append((name, at, piece))
 
     def differences(self, name: str, words: list[str]) -> tuple[list[str], list[str]]:
         """Words of the template that the block lacks, and words between that it adds."""
@@ -105,7 +145,7 @@ class Scanner:
     def scan(self, block: str) -> tuple[str, int, int, str, str, bool]:
         """Template, size alone, size with it, missing words, added words, confirmed."""
         low = block.lower()
-        raw, words = low.encode("utf-8", "surrogatepass"), _WORD.findall(low)
+        raw, words = low.encode("utf-8", "surrogatepass"), words_of(block)
         alone = len(self.plain.compress(raw))
         sizes = {name: len(c.compress(raw)) for name, c in self.with_template.items()}
         least = min(sizes.values())
@@ -116,22 +156,68 @@ class Scanner:
         same = sizes[name] < alone and few and not any(_GRANTS.search(w) for w in (*missing, *added))
         return name, alone, sizes[name], " ".join(missing), " ".join(added), same
 
+    def stretches(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Start, end and template of each stretch that has a template's wording."""
+        low = text.lower()
+        parts = [seeds for part, seeds in self.seeds.items() if part in low]
+        if not parts:
+            return
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [_BROKEN.sub("-", text[a:b].lower()) for a, b in spans]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        seen = set()
+        for name, at, piece in (x for seeds in parts for x in seeds):
+            rare = min(range(len(piece)), key=lambda k: len(places.get(piece[k], ())))
+            n = len(self.words[name])
+            slack = int(MISSING_SHARE * n)
+            for i in places.get(piece[rare], ()):
+                first = i - rare
+                if first < 0 or words[first : first + len(piece)] != piece or (name, first - at) in seen:
+                    continue
+                seen.add((name, first - at))
+                for wide in sorted({0, slack}):
+                    a, b = max(0, first - at - wide), min(len(words), first - at + n + wide)
+                    missing, added = self.differences(name, words[a:b])
+                    if max(len(missing), len(added)) <= slack and not any(_GRANTS.search(w) for w in (*missing, *added)):
+                        same = [m for m in SequenceMatcher(None, self.words[name], words[a:b], autojunk=False).get_matching_blocks() if m.size]
+                        end = spans[a + same[-1].b + same[-1].size - 1][1]
+                        yield spans[a + same[0].b][0], end + (text[end : end + 1] in (".", "!", "?", ";")), name
+                        break
+
+    def candidates(self, text: str) -> Iterator[tuple[int, tuple[str, int, int, str, str, bool]]]:
+        """Start of each block of a text, and what ``scan`` says of it."""
+        taken: list[tuple[int, int, tuple]] = []
+        for a, b, _ in sorted(set(self.stretches(text)), key=lambda x: (-len(self.words[x[2]]), x[0], x[1], x[2])):
+            if all(b <= c or d <= a for c, d, _ in taken):
+                got = self.scan(text[a:b])
+                if got[-1]:
+                    taken.append((a, b, got))
+        runs = [(a, a + len(block), self.scan(block)) for a, block in blocks(text) if all(a + len(block) <= c or d <= a for c, d, _ in taken)]
+        for a, _, got in sorted(taken + runs):
+            yield a, got
+
+
+@lru_cache(maxsize=4)
+def scanner_of(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(dict(templates))
+
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``doc_id, start, license, template, plain_bytes, conditional_bytes, missing, added,
     confirmed`` of each candidate block; ``start`` counts characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates)
+        scanner = scanner_of(tuple(templates.items()))
         names = ["doc_id", "start", "license", "template", "plain_bytes", "conditional_bytes", "missing", "added", "confirmed"]
         for pdf in batches:
             rows = []
             for d, text in zip(pdf["doc_id"], pdf["text"]):
-                for start, block in blocks(text):
-                    name, alone, size, missing, added, same = scanner.scan(block)
+                for start, (name, alone, size, missing, added, same) in scanner.candidates(text):
                     rows.append((d, start, name.split("/")[0], name, alone, size, missing, added, same))
             yield pd.DataFrame(rows, columns=names)
 
-    cued = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(f"(?i){CUE}"))
+    cued = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(may_hold(F.col("text"), templates))
     found = cued.mapInPandas(run, "doc_id string, start long, license string, template string, plain_bytes long, conditional_bytes long, missing string, added string, confirmed boolean")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))

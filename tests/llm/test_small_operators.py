@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import pytest
 
@@ -77,6 +78,22 @@ def test_license_wording(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_every_license_template_confirms_itself(spark):
+    texts, want = [], {}
+    for name, t in licenses.TEMPLATES.items():
+        for mark in ("", "# ", " * "):
+            for form in (mark + t, *[textwrap.fill(t, w, initial_indent=mark, subsequent_indent=mark) for w in (40, 57, 72, 80)]):
+                want[len(texts)] = [name]
+                texts.append(f"Some prose.\n{form}\nMore prose.")
+    gpl = "This program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free Software\nFoundation, either version 3 of the License, or (at your option) any later\nversion.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    for text, names in ((gpl, ["GPL-3.0/or-later"]), (gpl.replace("version 3", "version 4"), []), (mpl, ["MPL-2.0/notice"]), ("Licensed under the MIT License. Licensed under CC BY 4.0. All rights reserved.", ["MIT/licensed", "CC-BY-4.0/short", "Proprietary/reserved"])):
+        want[len(texts)] = names
+        texts.append(text)
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    assert {k: [r["template"] for r in out if r["doc_id"] == k and r["confirmed"]] for k in want} == want
+
+
 def by_hand(lengths: list[int], capacity: int):
     """Sum-of-squares placement by trying every bin."""
     gaps: list[int] = []
