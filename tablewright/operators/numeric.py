@@ -107,7 +107,7 @@ def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batche
 
 def discover(wide: DataFrame, columns: list[str], rows: int, terms: int = 2, min_rows: int = MIN_ROWS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE) -> list[dict]:
     """Relations that pass the screen, each with ``confidence, exact`` and ``stable``."""
-    columns = numeric_columns(wide, columns)
+    columns = numeric_columns(wide, columns, max(12, len(columns)))
     floor = max(0.70, confidence - max(tolerance, 0.25))
     loose = max(0.60, floor - 0.10)
     step = max(1, rows // SAMPLE)

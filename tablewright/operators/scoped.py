@@ -8,6 +8,8 @@ A small group is fitted on all of its rows.
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,15 +72,22 @@ def scope_columns(wide: DataFrame, columns: list[str], rows: int, most: int = MO
 
 
 def discover(wide: DataFrame, scopes: list[str], numbers: list[str], confidence: float = CONFIDENCE) -> list[dict]:
-    """Laws with two stable groups or more that differ."""
+    """Laws with two stable groups or more that differ; all pairs of columns in one job."""
     out = []
     for scope in scopes:
-        for source in numbers:
-            for target in numbers:
-                if source != target and scope not in (source, target):
-                    laws = [r.asDict() for r in fits(wide, scope, source, target, confidence).where("stable").collect()]
-                    if len(laws) >= 2 and len({(round(l["slope"], 6), round(l["intercept"], 6)) for l in laws}) >= 2:
-                        out.append({"scope": scope, "source": source, "target": target, "laws": laws})
+        pairs = [p for p in permutations(numbers, 2) if scope not in p]
+        if not pairs:
+            continue
+        text = lambda c: F.col(f"`{c}`").cast("string")
+        each = F.array(*[F.struct(F.lit(i).alias("i"), text(a).alias("x"), text(b).alias("y")) for i, (a, b) in enumerate(pairs)])
+        spread = wide.where(text(scope) != "").select("_row", text(scope).alias("s"), F.explode(each).alias("p")).select("_row", F.concat(F.col("p.i").cast("string"), F.lit(":"), "s").alias("_scope"), F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
+        by: dict[int, list[dict]] = {}
+        for r in fits(spread, "_scope", "_x", "_y", confidence).where("stable").collect():
+            i, _, group = r["scope"].partition(":")
+            by.setdefault(int(i), []).append(r.asDict() | {"scope": group})
+        for i, laws in sorted(by.items()):
+            if len(laws) >= 2 and len({(round(l["slope"], 6), round(l["intercept"], 6)) for l in laws}) >= 2:
+                out.append({"scope": scope, "source": pairs[i][0], "target": pairs[i][1], "laws": laws})
     return out
 
 

@@ -1,13 +1,17 @@
 """Running balances: ``balance = balance before + inflow - outflow``.
 
 Neighbours come from bucketed windows (``functions.ordered``); each numeric column is
-lagged once and all candidates are counted in one aggregation.
+lagged once.  Many candidates are first counted as NumPy partial counts of Arrow batches,
+with a wider tolerance, so that none is lost; what is left is counted exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +53,49 @@ def relation_stats(wide: DataFrame, triples: list[tuple[str, str, str | None]],
     return out
 
 
+def screened(wide: DataFrame, triples: list[tuple[str, str, str | None]], confidence: float, min_rows: int) -> list[tuple[str, str, str | None]]:
+    """The candidates that can still pass over all rows."""
+    columns = sorted({c for t in triples for c in t if c})
+    at = {c: i for i, c in enumerate(columns)}
+    t = near(wide, columns).select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for c, i in at.items()], *[F.col(f"`p_{c}`").cast("double").alias(f"p{i}") for c, i in at.items()])
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            now, had = ({c: pdf[f"{k}{i}"].to_numpy(float) for c, i in at.items()} for k in "cp")
+            found = []
+            for i, (b, x, y) in enumerate(triples):
+                out = now[y] if y else 0.0
+                want = had[b] + now[x] - out
+                there = np.isfinite(want) & np.isfinite(now[b])
+                size = np.abs(want)
+                room = 2e-6 * (1 + np.maximum(size, 1)) + 1e-12 * (np.abs(had[b]) + np.abs(now[x]) + np.abs(out))
+                good = there & ((np.abs(now[b] - want) <= room) | (size >= 1e18))
+                found.append((i, int(there.sum()), int(good.sum())))
+            yield pd.DataFrame(found, columns=["relation", "eligible", "matched"])
+
+    sums = t.mapInPandas(partial, "relation long, eligible long, matched long").groupBy("relation").agg(F.sum("eligible").alias("e"), F.sum("matched").alias("m")).collect()
+    return [triples[i] for i in sorted(r["relation"] for r in sums if r["e"] >= min_rows and passes(r["e"], r["m"], confidence))]
+
+
+def passes(eligible: int, matched: int, confidence: float) -> bool:
+    return matched >= confidence * eligible or eligible - matched <= max(2, int(0.05 * eligible))
+
+
 def discover(wide: DataFrame, columns: list[str], rows: int, confidence: float = CONFIDENCE, min_rows: int = MIN_ROWS) -> list[dict]:
     """Stable balances; one of two columns is dropped where one of three covers it."""
     triples = [(b, x, None) for b, x in permutations(columns, 2)] + list(permutations(columns, 3))
+    if len(triples) > 10:
+        triples = screened(wide, triples, confidence, min_rows)
     if not triples:
         return []
     stats: dict[int, dict[str, tuple[int, int]]] = {}
     for r in relation_stats(wide, triples, rows).collect():
         stats.setdefault(r["relation"], {})[r["scope"]] = (r["eligible"], r["matched"])
-    passes = lambda e, m: m >= confidence * e or e - m <= max(2, int(0.05 * e))
     out = []
     for i, (b, x, y) in enumerate(triples):
         eligible, matched = stats[i]["all"]
         parts = [p for p in (stats[i][s] for s in SCOPES[1:]) if p[0] >= max(4, min_rows // 4)]
-        if eligible >= min_rows and passes(eligible, matched) and len(parts) >= 2 and all(passes(*p) for p in parts):
+        if eligible >= min_rows and passes(eligible, matched, confidence) and len(parts) >= 2 and all(passes(*p, confidence) for p in parts):
             out.append({"balance": b, "inflow": x, "outflow": y, "eligible": eligible, "confidence": matched / eligible, "exact": matched == eligible, "stable": True})
     three = {(r["balance"], r["inflow"]) for r in out if r["outflow"]}
     return [r for r in out if r["outflow"] or (r["balance"], r["inflow"]) not in three]

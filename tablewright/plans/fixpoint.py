@@ -36,6 +36,7 @@ class Config:
     numeric: bool = False
     formula_terms: int = 2
     numeric_independent: int = 2
+    numeric_max_columns: int = 12
     temporal: bool = False
     scoped: bool = False
     sequential: bool = False
@@ -63,7 +64,7 @@ class Result:
 def auto(wide: DataFrame, rows: int, config: Config) -> Config:
     """Families that the shape of the table allows, by one look at its columns."""
     names = [c for c in wide.columns if c != "_row"]
-    numbers = numeric.numeric_columns(wide, names)
+    numbers = numeric.numeric_columns(wide, names, config.numeric_max_columns)
     wide_enough, long_enough = len(numbers) >= 3, rows >= config.min_rows
     return replace(config, numeric=config.numeric or (wide_enough and long_enough), discover_mappings=config.discover_mappings or (len(names) > len(numbers) and rows >= 2 * config.min_rows), sequential=config.sequential or (len(numbers) >= 2 and rows >= 16), temporal=config.temporal or (len(numbers) >= 1 and long_enough), scoped=config.scoped or (len(numbers) >= 2 and len(names) > len(numbers) and rows >= 2 * config.min_rows), locale=True, rank_one=config.rank_one or (wide_enough and long_enough))
 
@@ -72,19 +73,19 @@ def learn(wide: DataFrame, rows: int, config: Config) -> dict[str, list[dict]]:
     """Stable relations of each enabled family."""
     names = [c for c in wide.columns if c != "_row"]
     out: dict[str, list[dict]] = {}
-    numbers = numeric.numeric_columns(wide, names)
+    numbers = numeric.numeric_columns(wide, names, config.numeric_max_columns)
     texts = [c for c in names if c not in numbers]
     if config.numeric:
         out["numeric"] = [r for r in numeric.discover(wide, numbers, rows, config.formula_terms, config.min_rows, config.confidence) if r["stable"]]
     if config.sequential:
-        out["sequential"] = sequential.discover(wide, numbers[:6], rows)
+        out["sequential"] = sequential.discover(wide, numbers, rows)
     if config.temporal:
         times = time_columns(wide, texts)
         out["temporal"] = [r for r in temporal.discover(wide, times, numbers, rows, config.confidence, config.min_rows) if r["stable"]]
     if config.discover_mappings:
-        out["mapping"] = [r for r in mapping.discover(wide, texts[:12], rows, config.determinant_columns, confidence=config.confidence, min_rows=config.min_rows) if r["stable"]]
+        out["mapping"] = [r for r in mapping.discover(wide, texts, rows, config.determinant_columns, confidence=config.confidence, min_rows=config.min_rows) if r["stable"]]
     if config.scoped:
-        out["scoped"] = scoped.discover(wide, scoped.scope_columns(wide, texts, rows), numbers[:6])
+        out["scoped"] = scoped.discover(wide, scoped.scope_columns(wide, texts, rows), numbers)
     return out
 
 
@@ -94,7 +95,7 @@ def time_columns(wide: DataFrame, columns: list[str]) -> list[str]:
     if not columns:
         return []
     r = wide.agg(*[F.count_if(F.col(f"`{c}`").cast("string") != "").alias(f"n{i}") for i, c in enumerate(columns)], *[F.count(X.to_ts(F.col(f"`{c}`").cast("string"))).alias(f"t{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if r[f"t{i}"] >= 4 and r[f"t{i}"] >= 0.9 * r[f"n{i}"]][:12]
+    return [c for i, c in enumerate(columns) if r[f"t{i}"] >= 4 and r[f"t{i}"] >= 0.9 * r[f"n{i}"]]
 
 
 def analyze(wide: DataFrame, relations: dict[str, list[dict]], config: Config, references: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -134,7 +135,7 @@ def analyze(wide: DataFrame, relations: dict[str, list[dict]], config: Config, r
     names = [c for c in wide.columns if c != "_row"]
     if config.locale:
         add(diagnostics.locale_repairs(wide, names), "locale", "locale_numeric_canonicalization", "info", True)
-    if config.rank_one and len(numbers := numeric.numeric_columns(wide, names)) >= 3:
+    if config.rank_one and len(numbers := numeric.numeric_columns(wide, names, config.numeric_max_columns)) >= 3:
         add(diagnostics.proportional_fills(wide, numbers), "rank_one", "rank1_missing_reconstruction", "error", True)
     out = parts[0]
     for p in parts[1:]:

@@ -87,6 +87,20 @@ def test_time_balance_and_scope(spark):
     assert cells(scoped.projections(t, law)) == {(11, "y", "22"), (14, "y", "42")}  # 999 is out of range
 
 
+def test_balance_and_scope_beyond_the_sixth_number(spark):
+    r = random.Random(8)
+    rows, balance = [], 500
+    for i in range(48):
+        flow, x, g = r.randint(1, 90), r.randint(1, 900), "ab"[i % 2]
+        balance += flow
+        rows.append((i, g, *[str(r.randint(1, 10**6)) for _ in range(6)], str(flow), str(balance), str(x), str(3 * x + 1 if g == "a" else 5 * x + 2)))
+    t = spark.createDataFrame(rows, "_row long, g string, " + ", ".join(f"n{k} string" for k in range(6)) + ", flow string, balance string, x string, y string")
+    found = fixpoint.learn(t, 48, fixpoint.Config(sequential=True, scoped=True))
+    assert {(f["balance"], f["inflow"], f["outflow"]) for f in found["sequential"]} == {("balance", "flow", None)}
+    assert ("g", "x", "y") in {(f["scope"], f["source"], f["target"]) for f in found["scoped"]}
+    assert not fixpoint.learn(t, 48, fixpoint.Config(sequential=True, numeric_max_columns=6))["sequential"]
+
+
 def test_whole_loop_on_files(spark, tmp_path):
     rows = [["id", " name ", "flag", "code"]] + [[str(i), f"n{i}", "true" if i % 2 else "false", f"C{i}"] for i in range(30)]
     rows[4][1], rows[5][2], rows[6][2], rows[9][3], rows[10][3] = " n3 ", "no", "YES", "NA", ""
