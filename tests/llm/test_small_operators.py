@@ -94,6 +94,22 @@ def test_every_license_template_confirms_itself(spark):
     assert {k: [r["template"] for r in out if r["doc_id"] == k and r["confirmed"]] for k in want} == want
 
 
+def test_licenses_against_every_run():
+    """All runs of words up to a template's length and a tenth, without screens."""
+    scanner = licenses.Scanner({k: licenses.TEMPLATES[k] for k in ("ISC/use", "MPL-2.0/notice", "CC-BY-4.0/short", "CC-BY-NC-4.0/short")})
+    r = random.Random(3)
+    for _ in range(12):
+        name = r.choice(sorted(scanner.words))
+        words = licenses.TEMPLATES[name].split()
+        if r.random() < 0.6:
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice(([], [words[at], "plain"], ["plain"]))
+        text = " ".join(["pad"] * r.randint(0, 3) + words + ["pad"] * r.randint(0, 3))
+        spans = text.split()
+        brute = {x[0] for i in range(len(spans)) for j in range(i + 3, len(spans) + 1) if (x := scanner.scan(" ".join(spans[i:j])))[-1]}
+        assert {x[0] for _, x in scanner.candidates(text) if x[-1]} == brute, text
+
+
 def by_hand(lengths: list[int], capacity: int):
     """Sum-of-squares placement by trying every bin."""
     gaps: list[int] = []
