@@ -8,9 +8,13 @@ of the buckets before.  Either is one shuffle by bucket, whatever the size of th
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +33,44 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a written table of the shared folder: no lineage, nothing to recompute."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """``df`` as a written table of the shared folder: no lineage, nothing to recompute.
+
+    The table is deleted when the driver ends, or before by ``forget``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> list[str]:
+    """Tables that ``cut`` made and that still stand, the oldest first."""
+    return list(_WRITTEN)
+
+
+def forget(paths: Iterable[str]) -> None:
+    """Delete tables of ``cut`` that no plan reads any more."""
+    context = SparkContext._active_spark_context
+    for p in paths:
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
+        if context is not None and context._jsc is not None:
+            at = context._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        elif p.startswith("file:"):
+            shutil.rmtree(p.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    try:
+        forget(written())
+    except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to empty
+        return
 
 
 def with_row(df: DataFrame, *keys: str, name: str = "_row") -> DataFrame:
