@@ -8,8 +8,6 @@ unless the operator says that it carries them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import cut, forget, written  # noqa: F401
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
@@ -27,31 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (as in tests) a local folder is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tablewright-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The result has no lineage: losing an executor never recomputes what was cut.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """``long`` for ids that are whole numbers, else ``string``: ids keep their kind."""
+    return "long" if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
 
 
 #: A side is broadcast when its rows, as measured, take up to so many bytes.

@@ -10,14 +10,17 @@ finished documents from the next step.
 Candidates.  The m places are cut in bands; documents that agree in a whole
 band meet in a bucket.  Documents with one and the same signature are merged
 first, so thousands of exact copies make one member of a bucket.  There is no
-cap on buckets: within a bucket, members are visited breadth first, each visit
-comparing one member with all that are still unvisited, which finds the same
-connected sets as all pairs would.
+cap on buckets: members are visited breadth first, each visit comparing one member
+with all that are still unvisited, which finds the same connected sets as all pairs
+would.  A bucket of more than ``BLOCK`` members is cut in blocks by a hash, and every
+two of its blocks are visited together in a task of their own; so no task holds more than
+two blocks, and no two members of a bucket are left uncompared.
 
 Cases: a document without words (null, empty, punctuation only) or without an id
 has no signature and is never in a group; one with fewer words than a shingle has
 one shingle of all of them; rows of one id are one document, joined to what any
-of its texts resembles; extra columns are ignored; an empty table gives no group.
+of its texts resembles; ids may be numbers or texts; extra columns are ignored; an
+empty table gives no group.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, texts_of, words
+from .common import U64, chunks, cut, forget, id_type, mix, texts_of, words, written
 
-PLACES, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
+PLACES, BANDS, SHINGLE, THRESHOLD, BLOCK = 128, 32, 3, 0.5, 4096
 _STEP = U64(0x9E3779B97F4A7C15)
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -112,11 +115,12 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plac
             small = mix(sig).astype(np.uint16)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[held], "key_a": key_a.astype(np.int64), "key_b": key_b.astype(np.int64), "bands": list(band.astype(np.int64)), "sig": [x.tobytes() for x in small]})
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return kept.mapInPandas(run, "doc_id long, key_a long, key_b long, bands array<long>, sig binary")
+    kind = id_type(docs, id_col)
+    kept = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return kept.mapInPandas(run, f"doc_id {kind}, key_a long, key_b long, bands array<long>, sig binary")
 
 
-def linked(ids: np.ndarray, sig: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+def linked(ids: list, sig: np.ndarray, threshold: float) -> Iterator[tuple]:
     """Edges of a spanning forest of the members that agree by ``threshold``."""
     left = np.arange(len(ids))
     while len(left):
@@ -125,7 +129,7 @@ def linked(ids: np.ndarray, sig: np.ndarray, threshold: float) -> Iterator[tuple
         while queue and len(left):
             hit = agreement(sig[queue.pop()], sig[left]) >= threshold
             for x in left[hit]:
-                yield int(ids[root]), int(ids[x])
+                yield ids[root], ids[x]
             queue += list(left[hit])
             left = left[~hit]
 
@@ -134,49 +138,60 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node of each connected set, by star contraction.
 
     Alternates large stars (neighbours above a node move to its least neighbour)
-    with small stars (neighbours up to a node do) until nothing changes; every
-    round is a group-by on the node and is written to the shared folder.
+    with small stars (neighbours up to a node do) until nothing changes.  A node's least
+    neighbour is an aggregate that is joined back, so no row or task holds the neighbours
+    of a node; each round is written to the shared folder and the one before is deleted.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    sign = None
+    pairs, sign = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
+        before = written()[-1:]
         both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.collect_set("b").alias("n"), F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = near.select(F.explode(F.filter("n", lambda x: x > F.col("a"))).alias("a"), F.col("low").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.collect_set("b").alias("n"), F.min("b").alias("low"))
-        small = below.select(F.explode(F.array_union("n", F.array("a"))).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        pairs = cut(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        near = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = cut(both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        before += written()[-1:]
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        pairs = cut(small.unionAll(least.select("a", F.col("low").alias("b"))).distinct())
+        forget(before)
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == sign:
-            break
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         sign = now
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, places: int = PLACES, bands: int = BANDS, shingle: int = SHINGLE) -> DataFrame:
+def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``bucket, i, j, doc_id, sig``: the members of each bucket, by pairs of its blocks.
+
+    Buckets of the same members, which near copies have many of, are one; they are known
+    by counts and hashes of members, never by a list."""
+    spread = reps.select("member", F.explode("bands").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("member").alias("x"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("y")).where("n > 1")
+    kept = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("k"))
+    own = F.pmod(F.xxhash64("member", F.lit(2)), F.col("k"))
+    each = F.when(F.col("k") > 1, F.transform(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("own")), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    members = spread.join(kept, "bucket").withColumn("own", own).select("bucket", "member", F.explode(F.coalesce(each, F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j"))))).alias("at"))
+    return members.join(reps.select("member", "doc_id", "sig"), "member").select("bucket", "at.i", "at.j", "doc_id", "sig")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, places: int = PLACES, bands: int = BANDS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """``doc_id, group_id, group_size`` of each document in a group of two or more.
 
     ``group_id`` is the least id of the group.
     """
+    kind = id_type(docs, id_col)
     signs = cut(signed(docs, id_col, text_col, places, bands, shingle))
-    reps = cut(signs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    merged = signs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = cut(merged.withColumn("member", F.xxhash64("key_a", "key_b")))
     exact = signs.select("doc_id", "key_a", "key_b").join(reps.where("doc_id <> last").select("key_a", "key_b", F.col("doc_id").alias("b")), ["key_a", "key_b"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
-    sets = buckets.select(F.array_sort("ids").alias("ids")).select(F.xxhash64("ids").alias("bucket"), "ids").dropDuplicates(["bucket"])
-    members = sets.select("bucket", F.explode("ids").alias("doc_id")).join(reps.select("doc_id", "sig"), "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            a, b = [], []
-            for ids, sigs in zip(pdf["ids"], pdf["sigs"]):
-                sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
-                for x, y in linked(np.asarray(ids), sig, threshold):
-                    a.append(x), b.append(y)
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    # a bucket's signatures travel once; 256 bytes a member
-    grouped = members.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "sig"))).alias("m")).select(F.col("m.doc_id").alias("ids"), F.col("m.sig").alias("sigs"))
-    close = grouped.mapInPandas(verify, "a long, b long")
+            edges = [e for ids, sigs in zip(pdf["ids"], pdf["sigs"]) for e in linked(ids.tolist(), np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1), threshold)]
+            yield pd.DataFrame(edges, columns=["a", "b"]).astype("int64" if kind == "long" else object)
+
+    # a group is two blocks of signatures at most, 256 bytes a member
+    grouped = candidates(reps, block).groupBy("bucket", "i", "j").agg(F.array_sort(F.collect_list(F.struct("doc_id", "sig"))).alias("m")).select(F.col("m.doc_id").alias("ids"), F.col("m.sig").alias("sigs"))
+    close = grouped.mapInPandas(verify, f"a {kind}, b {kind}")
     roots = components(close.unionByName(exact))
     every = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).unionAll(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")).distinct())
     sizes = every.groupBy("group_id").agg(F.count("*").alias("group_size"))
