@@ -14,7 +14,7 @@ Cases: null or empty texts and items without a letter or digit match nothing; it
 shorter than 1/rate characters must occur unchanged; a match must start and end at
 words; documents of any length are read whole; repeated rows and ids of documents
 give one row with the least distance; equal items are each reported; null ids are
-left out; other columns are ignored; empty tables give an empty result.
+left out; ids may be numbers or texts; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 RATE, SHARD_CHARS = 0.08, 4_000_000
 _OTHER = re.compile(r"[\W_]+")
 
@@ -134,9 +136,10 @@ class Matcher:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``doc_id, item_id, distance`` of each document and item that it holds."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    kind, item_kind = id_type(docs, id_col), id_type(benchmark, item_col)
+    items = benchmark.select(F.col(item_col).cast(item_kind).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     shards = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // shard_chars))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     out = None
     for shard in range(shards):
         part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard).collect()]
@@ -145,8 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             matcher = Matcher(part, rate)
             for pdf in batches:
                 found = [(d, i, n) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, n in matcher.matches(t).items()]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance"]).astype("int64")
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance"]).astype({"doc_id": "int64" if kind == "long" else object, "item_id": "int64" if item_kind == "long" else object, "distance": "int64"})
 
-        one = rows.mapInPandas(run, "doc_id long, item_id long, distance long")
+        one = rows.mapInPandas(run, f"doc_id {kind}, item_id {item_kind}, distance long")
         out = one if out is None else out.unionAll(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))

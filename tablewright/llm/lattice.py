@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BASE, _INV, _powers, chunks, cut, texts_of
+from .common import _BASE, _INV, _powers, chunks, cut, id_type, texts_of, U64
 
 MODEL, ALPHA = "/opt/tokenizers/piece_bpe_32k.model", 0.5
 SPACE = "▁"
@@ -215,7 +215,8 @@ def likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, words, chars, log_prob, bits_per_char`` of every row (natural logarithm).
 
     ``model`` must be readable under this path on every machine."""
-    plain = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = id_type(docs, id_col)
+    plain = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scorer = lattice(piece_counts(cut(word_counts(plain)), model), model, alpha)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,4 +231,4 @@ def likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             bits = [-x / n / math.log(2) if n else None for x, n in zip(logs, size)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "words": pd.array([None if ws is None else len(ws) for ws in split], "Int64"), "chars": pd.array(size, "Int64"), "log_prob": pd.array(logs, "Float64"), "bits_per_char": pd.array(bits, "Float64")})
 
-    return plain.mapInPandas(score, "doc_id string, words long, chars long, log_prob double, bits_per_char double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return plain.mapInPandas(score, "doc_id string, words long, chars long, log_prob double, bits_per_char double").withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -32,6 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 MISSING_SHARE, LEVEL = 0.1, 3
 CUE = r"licen[sc]|lizen[sz]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|spdx|permission to use|free software|free and unencumbered"
 #: A line may end after a hyphen within a word; ``v.`` ends no sentence.
@@ -218,6 +220,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((d, start, name.split("/")[0], name, alone, size, missing, added, same))
             yield pd.DataFrame(rows, columns=names)
 
-    cued = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(may_hold(F.col("text"), templates))
+    kind = id_type(docs, id_col)
+    cued = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(may_hold(F.col("text"), templates))
     found = cued.mapInPandas(run, "doc_id string, start long, license string, template string, plain_bytes long, conditional_bytes long, missing string, added string, confirmed boolean")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -10,17 +10,23 @@ continuation in the next, equal ones are merged, and of those that overlap the s
 the greatest weight stays, where weight is the number of windows that agree and the
 distance to their edges.
 
-Every kind of span holds an ASCII digit or ``@``: others are dropped by rule, and so a
-window without either need not be decoded.  The result is that of decoding all.
+A span must hold a mark: an ASCII digit, ``@``, a letter of an unbroken run of ``RUN``
+ASCII letters, or a place up to ``AFTER`` characters after a word such as ``password`` or
+``token``.  Others are dropped by rule, and so a window without a mark need not be decoded.
+The result is that of decoding all.  What the rule can't find are secrets of fewer letters,
+without a digit, that no such word announces.
 
 Cases: a null or empty text has no span; texts of any length are read whole; a span may
-be longer than a window; repeated rows and ids stay separate; null ids stay null; other
-columns, whatever their names, are ignored or, in ``masked``, passed on; an empty table
+be longer than a window; repeated rows and ids stay separate; null ids stay null; ids may be
+numbers or texts; other columns, whatever their names, are ignored or, in ``masked``, passed on; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import random
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,61 +35,84 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import chunks, id_type, texts_of
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET")
 TAGS = 1 + 2 * len(KINDS)  # 0 is outside; kind k begins with 1 + 2k and goes on with 2 + 2k
-HIDDEN, WINDOW, STRIDE, STEPS, BATCH, TRAIN_SIZE = 24, 192, 96, 420, 48, 112
-TRIGGER = "[0-9@]"
-
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~@"
-CLASSES = 9 + len(_PUNCTUATION)
-_CLASS = np.full(128, 8, np.uint8)  # 0 is padding
-for _chars, _k in (("0123456789", 1), ("abcdef", 2), ("ghijklmnopqrstuvwxyz", 3), ("ABCDEF", 4), ("GHIJKLMNOPQRSTUVWXYZ", 5), (" \t", 6), ("\n\r", 7)):
-    for _c in _chars:
-        _CLASS[ord(_c)] = _k
-for _i, _c in enumerate(_PUNCTUATION):
-    _CLASS[ord(_c)] = 9 + _i
-
-
-def classes(text: str) -> np.ndarray:
-    """A class for each character; beyond ASCII all are as small letters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 3).astype(np.uint8)
+HIDDEN, WINDOW, STRIDE, STEPS, BATCH, TRAIN_SIZE = 24, 192, 96, 520, 64, 104
+RUN, AFTER = 16, 32
+CUE = r"pass(?:word|wd|phrase|code)|pwd|secret|token|credential|api[ _-]?key"
+TRIGGER = f"[0-9@]|[A-Za-z]{{{RUN}}}|(?i:{CUE})"
+_CUE, _STEMS = re.compile(CUE, re.I), ("pass", "pwd", "secret", "token", "credential", "api")
+
+# 0 is padding; each printable ASCII character is itself; beyond, kinds of characters
+SYMBOLS = 103
+_KIND = {"Ll": 98, "Lu": 99, "Lt": 99, "Nd": 101}
+_SYMBOL = np.full(1 << 16, 102, np.uint8)
+for _i in range(1 << 16):
+    _k = unicodedata.category(chr(_i))
+    _SYMBOL[_i] = _i - 31 if 32 <= _i < 127 else 96 if chr(_i) in "\n\r" else 97 if _i < 128 else _KIND.get(_k, 100 if _k[0] == "L" else 102)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def symbols(text: str) -> np.ndarray:
+    c = codes(text)
+    return np.where(c < 1 << 16, _SYMBOL[np.minimum(c, 65535)], 100).astype(np.uint8)
+
+
+def marks(text: str) -> np.ndarray:
+    """Where a span may be, see above."""
+    c = codes(text)
+    out = ((c >= 48) & (c <= 57)) | (c == 64)
+    letter = np.concatenate([[0], (((c | 32) >= 97) & ((c | 32) <= 122)).view(np.int8), [0]])
+    edge = np.flatnonzero(np.diff(letter))
+    for a, b in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1)[:, 0] >= RUN]:
+        out[a:b] = True
+    low = text.lower()
+    if any(x in low for x in _STEMS):
+        for m in _CUE.finditer(text):
+            out[m.end() : m.end() + AFTER] = True
+    return out
 
 
 # === labelled spans ===
 
 _SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "é", "è", "ç", "ü", "ö", "ñ", "ó", "ción", "eau", "sch", "ung", "lich", "ble", "ing", "mail", "com", "www"]
+_OPEN, _CLOSE = ["", "b", "c", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "qu", "r", "s", "t", "v", "w", "x", "y", "z", "br", "cl", "tr", "pl", "gr", "sp"], ["", "", "", "n", "r", "s", "t", "l", "m", "ck", "x"]
+_LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+_ANNOUNCE = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "API-KEY", "Password", "TOKEN", "passphrase", "client_secret", "credentials"]
 
 
 class Samples:
     """Endless labelled windows: the text, and ``start, end, kind`` of its spans."""
 
     def __init__(self, seed: int) -> None:
-        self.r = np.random.default_rng(seed)
+        self.r = random.Random(seed)
 
     def word(self) -> str:
-        w = "".join(self.r.choice(_SYLLABLES, self.r.integers(1, 5)))
-        x = self.r.random()
+        r = self.r
+        x = r.random()
+        n = r.randint(5, 9) if r.random() < 0.03 else r.randint(1, 4)
+        w = "".join(r.choice(_SYLLABLES) for _ in range(n)) if x < 0.6 else "".join(r.choice(_OPEN) + r.choice("aeiou") + r.choice(_CLOSE) for _ in range(n))
+        x = r.random()
         return w.upper() if x < 0.08 else w.capitalize() if x < 0.2 else w
 
     def digits(self, n: int) -> str:
-        return "".join(map(str, self.r.integers(0, 10, n)))
+        return "".join(self.r.choices(_DIGITS, k=n))
 
     def key(self, alphabet: str, low: int, high: int) -> str:
-        while True:
-            s = "".join(self.r.choice(list(alphabet), self.r.integers(low, high)))
-            if any(c.isdigit() for c in s):
-                return s
+        return "".join(self.r.choices(alphabet, k=self.r.randrange(low, high)))
 
     def pick(self, *ways):  # noqa: ANN002, ANN201
-        return ways[self.r.integers(len(ways))]
+        return self.r.choice(ways)
 
     def value(self, kind: str) -> str:
         d, r = self.digits, self.r
         if kind == "EMAIL":
-            name = self.pick(lambda: self.word(), lambda: f"{self.word()}.{d(2)}", lambda: f"{self.word()}{d(r.integers(1, 4))}", lambda: f"{self.word()}{self.pick('.', '_', '-', '+')}{self.word()}")()
+            name = self.pick(lambda: self.word(), lambda: f"{self.word()}.{d(2)}", lambda: f"{self.word()}{d(r.randint(1, 3))}", lambda: f"{self.word()}{self.pick('.', '_', '-', '+')}{self.word()}")()
             host = self.pick(lambda: self.word(), lambda: f"mail{d(1)}.example", lambda: f"{self.word()}-{self.word()}", lambda: f"{self.word()}.{self.word()}", lambda: f"{self.word()}{d(1)}.{self.word()}")()
             out = f"{name}@{host}.{self.pick('com', 'org', 'net', 'de', 'fr', 'io', 'co.uk', 'example.com')}"
             return out.upper() if r.random() < 0.1 else out.lower() if r.random() < 0.8 else out
@@ -93,37 +122,37 @@ class Samples:
                 return a + self.pick(f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"({d(3)}){d(3)}-{d(4)}")
             return (a or "+" + d(2) + " ") + self.pick(f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(10)}") if r.random() < 0.8 else f"{d(3)}-{d(3)}-{d(4)}"
         if kind == "IP":
-            return ".".join(str(x) for x in r.integers(0, 256, 4))
+            return ".".join(str(r.randrange(256)) for _ in range(4))
         if kind == "CARD":
             return self.pick(d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15), f"{d(4)} {d(6)} {d(5)}")
         if kind == "SSN":
             return f"{d(3)}-{d(2)}-{d(4)}"
-        hexa, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-        return self.pick(lambda: self.key(hexa, 32, 65), lambda: self.key(hexa, 40, 41), lambda: self.key(hexa, 20, 48), lambda: self.key(hexa.upper(), 32, 48), lambda: self.key(both, 20, 44), lambda: "sk-" + self.key(both, 20, 48), lambda: "AKIA" + self.key(both[:26] + hexa[:10], 16, 17), lambda: "ghp_" + self.key(both, 36, 37))()
+        hexa, both, key = _DIGITS + "abcdef", _LETTERS + _DIGITS, self.key
+        return self.pick(lambda: key(hexa, 32, 65), lambda: key(hexa, 40, 41), lambda: key(hexa, 20, 48), lambda: key(hexa.upper(), 32, 48), lambda: key(both, 20, 44), lambda: key(_LETTERS, 20, 44), lambda: key(_LETTERS[26:], 24, 44), lambda: "sk-" + key(both, 20, 48), lambda: "AKIA" + key(_LETTERS[:26] + _DIGITS, 16, 17), lambda: "ghp_" + key(both, 36, 37))()
 
     def harmless(self) -> str:
         d, r = self.digits, self.r
-        return self.pick(lambda: d(r.integers(1, 9)), lambda: f"{d(r.integers(1, 3))}.{d(r.integers(1, 3))}{self.pick('', '.', ',')}", lambda: f"version {d(1)}{self.pick('.', '', '.' + d(1))}", lambda: f"{self.pick('19', '20')}{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(r.integers(1, 4))},{d(3)}.{d(2)}", lambda: f"({d(r.integers(1, 5))})", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"{d(r.integers(1, 4))}%", lambda: f"{self.word()}{d(r.integers(1, 4))}", lambda: f"@{self.word()}", lambda: f"{self.word()} @ {self.word()}", lambda: f"{d(2)}-{d(2)}", lambda: f"#{d(r.integers(1, 6))}", lambda: f"${d(r.integers(1, 5))}", lambda: f"{d(r.integers(2, 5))}/{d(2)}", lambda: f"CC BY-SA {d(1)}.{d(1)}.", lambda: f"http://{self.word()}.com/{d(3)}", lambda: f"{self.word().upper()}{d(2)}-{d(1)}")()
+        return self.pick(lambda: d(r.randint(1, 8)), lambda: f"{d(r.randint(1, 2))}.{d(r.randint(1, 2))}{self.pick('', '.', ',')}", lambda: f"version {d(1)}{self.pick('.', '', '.' + d(1))}", lambda: f"{self.pick('19', '20')}{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(r.randint(1, 3))},{d(3)}.{d(2)}", lambda: f"({d(r.randint(1, 4))})", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: f"{d(r.randint(1, 3))}%", lambda: f"{self.word()}{d(r.randint(1, 3))}", lambda: f"@{self.word()}", lambda: f"{self.word()} @ {self.word()}", lambda: f"{d(2)}-{d(2)}", lambda: f"#{d(r.randint(1, 5))}", lambda: f"${d(r.randint(1, 4))}", lambda: f"{d(r.randint(2, 4))}/{d(2)}", lambda: f"CC BY-SA {d(1)}.{d(1)}.", lambda: f"http://{self.word()}.com/{d(3)}", lambda: f"{self.word().upper()}{d(2)}-{d(1)}", lambda: f"{self.word()}{self.word().capitalize()}{self.word().capitalize()}", lambda: f"{self.word()}_{self.word()}_{self.word()}", lambda: f"the {r.choice(_ANNOUNCE)} {self.pick('is', 'of', 'for', 'was', 'and', '')} {self.word()}", lambda: f"{r.choice(_ANNOUNCE)} {self.word()} {self.word()}")()
 
     def window(self, size: int) -> tuple[str, list[tuple[int, int, int]]]:
         r, text, spans = self.r, "", []
         # a text ends of its own or is cut by the window, never cut and then padded
         ends = r.random() < 0.3 and size > 80
-        long = int(r.integers(4, size - 70)) if ends else size + 40
+        long = r.randrange(4, size - 70) if ends else size + 40
         noise = self.pick("", "", "", "!!", "###", "%%%", "***", "$$$", "&&&", "|")
         while len(text) < long:
             x = r.random()
             if x < 0.12:
-                k = int(r.integers(len(KINDS)))
-                value = self.value(KINDS[k])
+                k = r.randrange(len(KINDS))
+                value, short = self.value(KINDS[k]), KINDS[k] == "SECRET" and r.random() < 0.25
                 before, after = "", self.pick("", "", "", "", ".", ",", ")", ";", noise, "\n")
-                if KINDS[k] == "SECRET" and r.random() < 0.7:
-                    before, after = self.pick('token = "', 'TOKEN = "', 'api_key = "', "key: ", "password='", "secret=")[:], self.pick("", ".", "")
+                if short:  # few letters or digits are a secret by what announces them
+                    value = self.key(self.pick(_LETTERS, _LETTERS + _DIGITS, _LETTERS[26:] + _DIGITS + "!$%-_"), 8, 20)
+                if short or (KINDS[k] == "SECRET" and r.random() < 0.6):
+                    before, after = r.choice(_ANNOUNCE) + self.pick(' = "', " = ", "=", ": ", "='", ': "', ":"), self.pick("", ".", "")
                     after = (before[-1] if before[-1] in "\"'" else "") + self.pick(after, noise)
                 elif r.random() < 0.12:
                     before = self.pick("(", "<", "tel: ", "mail:", '"', "ip ", "no. ", "|", ", ")
-                elif KINDS[k] == "EMAIL" and r.random() < 0.3 and "." in value.split("@")[0]:
-                    before = ""
                 spans.append((len(text) + len(before), len(text) + len(before) + len(value), k))
                 text += before + value + after
             elif x < 0.24:
@@ -134,14 +163,14 @@ class Samples:
         if ends:
             text = text.rstrip() if r.random() < 0.8 else text
             return text[:size], [(x, min(y, size), k) for x, y, k in spans if x < size]
-        cut = int(r.integers(0, 40))
+        cut = r.randrange(40)
         return text[cut : cut + size], [(max(0, a - cut), min(size, b - cut), k) for a, b, k in spans if a - cut < size and b > cut]
 
     def batch(self, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         ids, tags = np.zeros((count, size), np.uint8), np.zeros((count, size), np.int64)
         for i in range(count):
             text, spans = self.window(size)
-            ids[i, : len(text)] = classes(text)
+            ids[i, : len(text)] = symbols(text)
             for a, b, k in spans:
                 tags[i, a:b] = 2 + 2 * k
                 tags[i, a] = 1 + 2 * k
@@ -161,7 +190,7 @@ Weights = dict[str, np.ndarray]
 
 def initial(hidden: int, seed: int) -> Weights:
     r = np.random.default_rng(seed)
-    w = {"table": r.normal(0, 0.3, (2, CLASSES, 4 * hidden)), "again": r.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden)), "out": r.normal(0, 0.2, (2 * hidden, TAGS)), "bias": np.zeros(TAGS), "step": np.zeros((TAGS, TAGS))}
+    w = {"table": r.normal(0, 0.3, (2, SYMBOLS, 4 * hidden)), "again": r.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden)), "out": r.normal(0, 0.2, (2 * hidden, TAGS)), "bias": np.zeros(TAGS), "step": np.zeros((TAGS, TAGS))}
     w["table"][:, :, hidden : 2 * hidden] += 1  # remember at first
     return {k: v.astype(np.float32) for k, v in w.items()}
 
@@ -196,26 +225,28 @@ def run(w: Weights, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, li
     return joined @ w["out"] + w["bias"], [both, tape, joined]
 
 
-def _sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 def crf(e: np.ndarray, step: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean loss of a window, and its gradients by emissions and transitions."""
+    """Mean loss of a window, and its gradients by emissions and transitions.
+
+    Forward and backward sums are scaled at each place, so no logarithm is in the loops."""
     batch, size, n = e.shape
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[:, 0] = e[:, 0]
-    for t in range(1, size):
-        a[:, t] = _sum(a[:, t - 1, :, None] + step, 1) + e[:, t]
+    top = e.max(axis=2)
+    p, move = np.exp(e - top[:, :, None]), np.exp(step)
+    a, b, scale = np.empty_like(e), np.ones_like(e), np.empty((batch, size), e.dtype)
+    x = p[:, 0]
+    for t in range(size):
+        if t:
+            x = (a[:, t - 1] @ move) * p[:, t]
+        scale[:, t] = x.sum(axis=1)
+        a[:, t] = x / scale[:, t, None]
     for t in range(size - 2, -1, -1):
-        b[:, t] = _sum(step + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-    total = _sum(a[:, -1], 1)
+        b[:, t] = (p[:, t + 1] * b[:, t + 1]) @ move.T / scale[:, t + 1, None]
+    total = (np.log(scale) + top).sum(axis=1)
     rows, places = np.arange(batch)[:, None], np.arange(size)[None]
     gold = e[rows, places, tags].sum(axis=1) + step[tags[:, :-1], tags[:, 1:]].sum(axis=1)
-    by_e = np.exp(a + b - total[:, None, None])
-    pair = np.exp(a[:, :-1, :, None] + step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - total[:, None, None, None])
-    by_step = pair.sum(axis=(0, 1))
+    by_e = a * b
+    after = (p * b)[:, 1:] / scale[:, 1:, None]
+    by_step = np.einsum("btk,btl->kl", a[:, :-1], after, optimize=True) * move
     by_e[rows, places, tags] -= 1
     np.subtract.at(by_step, (tags[:, :-1], tags[:, 1:]), 1)
     return float((total - gold).mean()), by_e / batch, by_step / batch
@@ -233,15 +264,18 @@ def gradients(w: Weights, ids: np.ndarray, tags: np.ndarray) -> tuple[float, Wei
     dh = np.zeros_like(from_out[0])
     dc = np.zeros_like(dh)
     back = w["again"].transpose(0, 2, 1)
+    dz_all = np.empty((len(tape), *dh.shape[:2], 4 * hidden), dh.dtype)
     for t in range(len(tape) - 1, -1, -1):
         i, f, o, x, before, tc, last = tape[t]
         dh = dh + from_out[t]
         dc = dc + dh * o * (1 - tc * tc)
         dz = np.concatenate([dc * x * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - x * x)], axis=2)
         g["again"] += last.transpose(0, 2, 1) @ dz
-        for k in range(2):
-            np.add.at(g["table"][k], both[k, :, t], dz[k])
+        dz_all[t] = dz
         dh, dc = dz @ back, dc * f
+    for k in range(2):
+        seen = np.eye(SYMBOLS, dtype=dh.dtype)[both[k].T.ravel()]
+        g["table"][k] = seen.T @ dz_all[:, k].reshape(len(seen), -1)
     return loss, g
 
 
@@ -301,19 +335,19 @@ def tagged(tags: np.ndarray) -> list[Span]:
     return out
 
 
-def starts(ids: np.ndarray, every: bool = False) -> list[int]:
-    """Where windows begin: those that hold a digit or an at sign, or all."""
-    n = len(ids)
+def starts(marked: np.ndarray, every: bool = False) -> list[int]:
+    """Where windows begin: those that hold a mark, or all."""
+    n = len(marked)
     grid = range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else range(0)
     if every:
         return list(grid)
-    seen = np.concatenate([[0], np.cumsum((ids == 1) | (ids == CLASSES - 1))])
+    seen = np.concatenate([[0], np.cumsum(marked)])
     return [a for a in grid if seen[min(n, a + WINDOW)] > seen[a]]
 
 
-def reconcile(found: list[tuple[int, int, Span]], ids: np.ndarray) -> list[Span]:
+def reconcile(found: list[tuple[int, int, Span]], marked: np.ndarray) -> list[Span]:
     """Spans of a text from ``window start, window end, span`` of all its windows."""
-    n = len(ids)
+    n = len(marked)
     votes: dict[Span, float] = {}
     loose: list[Span] = []
     for low, high, (a, b, k) in sorted(found):
@@ -331,7 +365,7 @@ def reconcile(found: list[tuple[int, int, Span]], ids: np.ndarray) -> list[Span]
     for x in joined:
         # cut spans count for little, but where they are longer than any window
         votes[x] = votes.get(x, 0.0) + (3.0 if x[1] - x[0] > WINDOW else 0.1)
-    seen = np.concatenate([[0], np.cumsum((ids == 1) | (ids == CLASSES - 1))])
+    seen = np.concatenate([[0], np.cumsum(marked)])
     spans = sorted((x for x in votes if seen[x[1]] > seen[x[0]]), key=lambda x: (x[1], x[0], x[2]))
     ends = [x[1] for x in spans]
     best: list[tuple[float, int, int]] = [(0.0, -1, 0)]  # weight, span taken, index before it
@@ -350,8 +384,9 @@ def reconcile(found: list[tuple[int, int, Span]], ids: np.ndarray) -> list[Span]
 
 def find(texts: list[str | None], w: Weights, every: bool = False, block: int = 256) -> list[list[Span]]:
     """Spans of each text: start, end, kind; windows of all texts share their batches."""
-    coded = [classes(t) if t else np.zeros(0, np.uint8) for t in texts]
-    windows = [(i, a) for i, ids in enumerate(coded) for a in starts(ids, every)]
+    coded = [symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
+    marked = [marks(t) if t else np.zeros(0, bool) for t in texts]
+    windows = [(i, a) for i, m in enumerate(marked) for a in starts(m, every)]
     found: list[list[tuple[int, int, Span]]] = [[] for _ in texts]
     for at in range(0, len(windows), block):
         part = windows[at : at + block]
@@ -362,7 +397,7 @@ def find(texts: list[str | None], w: Weights, every: bool = False, block: int =
         for (i, a), tags in zip(part, decode(w, ids)):
             end = min(a + WINDOW, len(coded[i]))
             found[i] += [(a, end, (a + s, a + e, k)) for s, e, k in tagged(tags[: end - a])]
-    return [reconcile(f, ids) if f else [] for f, ids in zip(found, coded)]
+    return [reconcile(f, m) if f else [] for f, m in zip(found, marked)]
 
 
 def mask_text(text: str, spans: list[Span]) -> str:
@@ -384,8 +419,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [(d, ",".join(f"{a}-{b}:{KINDS[k]}" for a, b, k in s), mask_text(t, s)) for d, t, s in zip(pdf["doc_id"], texts, find(texts, w)) if s]
             yield pd.DataFrame(rows, columns=["doc_id", "spans", "text"])
 
-    may = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(TRIGGER))
-    return may.mapInPandas(look, "doc_id string, spans string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = id_type(docs, id_col)
+    may = docs.select(F.col(id_col).cast(kind).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(TRIGGER))
+    return may.mapInPandas(look, "doc_id string, spans string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -7,8 +7,9 @@ A line is boilerplate where more than ``share`` of its host's documents, and mor
 than ``least`` documents, have it.  Such lines go; a document that keeps less than
 ``keep`` of its characters is depleted and rejected.
 
-Only hashes are shuffled.  What is joined to the texts, the boilerplate that each holds,
-is broadcast while its counted size allows; beyond, they are joined by a shuffle.
+Only hashes are shuffled.  The boilerplate of all hosts, a few lines each, is broadcast
+while its measured size allows, and texts stay where they are; beyond, each text travels
+once to the boilerplate that it holds.
 
 Cases: a null text or one of white space only has nothing to keep and is rejected;
 a null source is a host of its own; empty lines neither count nor go; rows of one id
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, beside, cut
+from .common import BROADCAST_BYTES, cut
 
 SHARE, LEAST, KEEP = 0.02, 10, 0.4
 
@@ -47,31 +48,38 @@ def boilerplate(keyed: DataFrame, share: float = SHARE, least: int = LEAST) -> D
     return counts.join(hosts, "host").where(F.col("n") > F.col("documents") * share).select("host", "line")
 
 
-def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP) -> DataFrame:
+def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with ``_text`` (what is left of it),
     ``_lines``, ``_removed`` (counts) and ``_rejected``."""
     text = F.col("text").cast("string")
     key = (F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("same"), text.alias("text"))
     keyed = docs.select(*key)
     frequent = cut(boilerplate(keyed, share, least))
-    lines = hashed_lines(keyed)
-    met = lines.join(F.broadcast(frequent) if frequent.count() * 16 <= BROADCAST_BYTES else frequent, ["host", "line"])
-    hits = cut(met.groupBy("host", "same").agg(F.collect_set("line").alias("bad")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
-    found = beside(rows, hits, ["host", "same"], "left", F.size("bad") * 8 + 80)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    rows = docs.select(rest, *key)
+    # a host has 1 / share times its mean number of lines at most
+    by_host = frequent.groupBy("host").agg(F.collect_set("line").alias("bad"))
+    size = by_host.agg(F.sum(F.octet_length("host") + F.size("bad") * 8 + 80)).first()[0] or 0
+    if size <= broadcast_bytes:
+        hashed = rows.join(F.broadcast(by_host), "host", "left").withColumn("_held", F.when(F.col("bad").isNotNull(), F.transform(F.split("text", "\n"), line_hash)))
+        found = hashed.withColumn("bad", F.array_intersect("_held", "bad")).withColumn("bad", F.when(F.size("bad") > 0, F.col("bad")))
+    else:
+        met = hashed_lines(keyed).join(frequent, ["host", "line"]).groupBy("host", "same").agg(F.collect_set("line").alias("bad"))
+        found = rows.join(met.hint("shuffle_merge"), ["host", "same"], "left")
     all_lines = F.split("text", "\n")
     left = F.filter(all_lines, lambda x: ~F.array_contains("bad", line_hash(x)))
     # texts without a hit, by far the most, are passed on as they are
-    split = found.select("row", "text", F.size(all_lines).cast("long").alias("_lines"), F.when(F.col("bad").isNotNull(), left).alias("left"))
+    split = found.select("rest", "text", F.size(all_lines).cast("long").alias("_lines"), F.when(F.col("bad").isNotNull(), left).alias("left"))
     own = lambda c: F.length(F.translate(c, " \t\n\r\f", ""))
-    judged_ = split.select("row", "text", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("_text"), "_lines", F.coalesce(F.col("_lines") - F.size("left"), F.lit(0)).cast("long").alias("_removed"))
+    row = F.struct(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]).alias("row")
+    judged_ = split.select(row, "text", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("_text"), "_lines", F.coalesce(F.col("_lines") - F.size("left"), F.lit(0)).cast("long").alias("_removed"))
     depleted = F.when(F.col("_removed") > 0, (own("_text") == 0) | (own("_text") < own("text") * keep)).otherwise(~F.col("_text").rlike(r"[^ \t\n\r\f]"))
     return judged_.select("row", "_text", "_lines", "_removed", F.coalesce(depleted, F.lit(True)).alias("_rejected"))
 
 
-def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``doc_id, source, text, lines, removed_lines`` of the documents that stay."""
-    return judged(docs, share, least, keep).where("not _rejected").select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("_text").alias("text"), F.col("_lines").alias("lines"), F.col("_removed").alias("removed_lines"))
+    return judged(docs, share, least, keep, broadcast_bytes).where("not _rejected").select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("_text").alias("text"), F.col("_lines").alias("lines"), F.col("_removed").alias("removed_lines"))
 
 
 _NORM = r"lower(trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g'), ' '))"

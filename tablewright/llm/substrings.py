@@ -15,18 +15,22 @@ and documents go only to the shards that can hold a match:
 3. Of anchors with differing contexts, each different one is a reference.  A shard holds
    the contexts of many anchors.  They are streamed in order of ids past the suffix
    automaton of the earlier ones; the matching statistics give the spans.  Only contexts
-   that share a window hash with another document get that far.
+   that share a window hash with another document get that far.  An anchor of more than
+   ``shard_contexts`` different contexts fits no shard: its windows are compared by their
+   hashes, counted in parts, which gives the same spans.
 4. Spans of a document are united and cut from its text.
 
 What is joined to the texts, places and spans, grows with the corpus, so these joins are
-shuffles at every size.
+shuffles at every size.  Least and greatest ids of an anchor are aggregates joined back, so
+no task holds all places of an anchor that a third of all documents have.
 
 Words are runs of letters, digits and other non-ASCII characters in lower case.
 
 Cases: null ids and texts without ``least`` words have no span; repeats within one
-document stay; rows of one id and one text are cut alike; of rows of one id with
-different texts only the one of the least text hash is worked on; documents of any
-length are read whole; other columns are ignored; an empty table gives no rows.
+document stay; rows of one id and one text are cut alike; different texts of one id are
+documents of their own, in the order of their hashes; ids may be numbers or texts, and texts
+are ordered as such; documents of any length are read whole; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _BASE, _INV, _powers, chunks, cut, fold, mix, texts_of, words
+from .common import U64, _BASE, _INV, _powers, chunks, cut, fold, forget, id_type, mix, texts_of, words, written
 
 LEAST, GRAM, SHARD_CONTEXTS = 50, 20, 4000
 
@@ -163,14 +167,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_
             doc, f, context, _, first, last = anchors(h, at, least, gram)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "f": f.astype(np.int64), "context": context.astype(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
-    found = docs.mapInPandas(find, "doc_id long, f long, context long, first int, last int")
-    of_f, of_context = Window.partitionBy("f"), Window.partitionBy("f", "context")
-    ranged = found.select("*", F.min("doc_id").over(of_f).alias("low"), F.max("doc_id").over(of_f).alias("high"), (F.min("context").over(of_f) != F.max("context").over(of_f)).alias("varied")).where("low < high")
-    met = cut(ranged.select("doc_id", "f", "context", "first", "last", "varied", F.min("doc_id").over(of_context).alias("ref")))
+    found = cut(docs.mapInPandas(find, "doc_id long, f long, context long, first int, last int"))
+    stale = written()[-1:]
+    ends = found.groupBy("f").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("context") != F.max("context")).alias("varied")).where("low < high")
+    held = cut(found.join(ends.select("f", "varied"), "f"))
+    stale += written()[-1:]
+    firsts = held.groupBy("f", "context").agg(F.min("doc_id").alias("ref"))
+    met = cut(held.join(firsts, ["f", "context"]).select("doc_id", "f", "context", "first", "last", "varied", "ref"))
+    forget(stale)
     whole = met.where("doc_id > ref").select("doc_id", F.col("first").alias("start"), (F.col("last") + least).alias("end"), "ref")
     variants = met.where("varied and doc_id = ref")
+    hot = cut(variants.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > shard_contexts).select("f", F.lit(True).alias("hot")))
     shards = max(1, -(-variants.count() // shard_contexts))
-    places = cut(variants.groupBy("doc_id").agg(F.collect_list(F.struct("f", "first", "last")).alias("at")))
+    # a set: its size is bounded by the length of a document
+    places = cut(variants.groupBy("doc_id").agg(F.collect_set(F.struct("f", "first", "last")).alias("at")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches):
@@ -205,29 +215,50 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_
                 out += settle([(int(pdf["doc_id"][i]), int(pdf["first"][i]), 0, each[i].tolist()) for i in take], least)
         return pd.DataFrame(out, columns=["doc_id", "start", "end", "ref"]).astype({"doc_id": "int64", "start": "int32", "end": "int32", "ref": "int64"})
 
-    part = texts.withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards))).groupBy("shard").applyInPandas(match, "doc_id long, start int, end int, ref long")
-    return whole.unionByName(part)
-
-
-def one_text_each(docs: DataFrame) -> DataFrame:
-    """Without rows whose id another row has with another text of a lesser hash."""
-    hashed = docs.withColumn("same", F.xxhash64("text"))
-    unequal = hashed.groupBy("doc_id").agg(F.min("same").alias("least"), F.max("same").alias("most")).where("least <> most").select("doc_id", "least")
-    if unequal.isEmpty():
-        return docs
-    return hashed.join(unequal, "doc_id", "left").where("least is null or same = least").drop("same", "least")
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            each = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
+            held = np.array([max(0, len(x) - least + 1) for x in each], np.int64)
+            row, start = np.repeat(np.arange(len(each)), held), np.concatenate([np.arange(n) for n in held]) if len(held) else held
+            window = [hashes(sums_of(mix(x.astype(U64))), np.arange(n), np.arange(n) + least) for x, n in zip(each, held)]
+            out = {c: pdf[c].to_numpy()[row] for c in ("doc_id", "f")} | {"start": (pdf["first"].to_numpy()[row] + start).astype(np.int32), "w": np.concatenate(window).astype(np.int64) if window else held}
+            yield pd.DataFrame(out)
+
+    if hot.isEmpty():
+        usual = texts
+        part = None
+    else:
+        marked = cut(texts.join(hot, "f", "left"))
+        usual = marked.where("hot is null").drop("hot")
+        each = cut(marked.where("hot").drop("hot").mapInPandas(windows, "doc_id long, f long, start int, w long"))
+        least_id = each.groupBy("f", "w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last")
+        part = each.join(least_id, ["f", "w"]).where("doc_id > ref").select("doc_id", "start", (F.col("start") + least).alias("end"), "ref")
+    sharded = usual.withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(shards))).groupBy("shard").applyInPandas(match, "doc_id long, start int, end int, ref long")
+    out = whole.unionByName(sharded)
+    return out if part is None else out.unionByName(part)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """``doc_id, spans, removed_words, refs, text`` of each document that loses spans.
 
     ``spans`` lists ``start-end`` of the removed parts in characters of the old text;
     ``refs`` are the ids of documents that have them and keep them; ``text`` is the rest.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    plain = one_text_each(plain)
-    found = repeated_spans(plain, least, gram)
-    by_doc = cut(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"), F.array_sort(F.collect_set("ref")).alias("refs")))
+    kind = id_type(docs, id_col)
+    plain = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    spans = lambda d: d.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"), F.array_sort(F.collect_set("ref")).alias("refs"))
+    if kind == "long" and plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        lost = plain.join(cut(spans(repeated_spans(plain, least, gram, shard_contexts))).hint("shuffle_merge"), "doc_id")
+    else:
+        # each different text of an id is searched once, under a number in their order
+        hashed = plain.withColumn("same", F.xxhash64("text"))
+        ordered = hashed.select("doc_id", "same").distinct().repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same")
+        units = cut(ordered.withColumn("unit", F.monotonically_increasing_id()))
+        once = hashed.dropDuplicates(["doc_id", "same"]).join(units, ["doc_id", "same"]).select(F.col("unit").alias("doc_id"), "text")
+        by_unit = cut(spans(repeated_spans(once, least, gram, shard_contexts)))
+        named = by_unit.select("doc_id", F.explode("refs").alias("unit")).join(units.select("unit", F.col("doc_id").alias("ref")), "unit").groupBy("doc_id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+        told = by_unit.drop("refs").join(named, "doc_id").withColumnRenamed("doc_id", "unit").join(units, "unit")
+        lost = hashed.join(told.hint("shuffle_merge"), ["doc_id", "same"]).select("doc_id", "text", "at", "refs")
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches):
@@ -253,4 +284,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((d, ",".join(f"{a}-{b}" for a, b in pairs), sum(b - a for a, b in spans), list(refs), left))
             yield pd.DataFrame(rows, columns=["doc_id", "spans", "removed_words", "refs", "text"])
 
-    return plain.join(by_doc.hint("shuffle_merge"), "doc_id").mapInPandas(drop, "doc_id long, spans string, removed_words long, refs array<long>, text string")
+    return lost.select("doc_id", "text", "at", "refs").mapInPandas(drop, f"doc_id {kind}, spans string, removed_words long, refs array<{kind}>, text string")

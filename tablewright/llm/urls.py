@@ -6,8 +6,8 @@ just before or after it.  One strict term rejects; soft terms reject when
 occurrences.
 
 Cases: a null or empty URL has no hits, score 0 and is kept; URLs are read whole
-whatever their length; repeated rows and ids stay separate rows; overlapping terms
-all count; other columns are ignored; an empty table gives an empty result.
+whatever their length; repeated rows and ids stay separate rows; ids may be numbers or
+texts; overlapping terms all count; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 STRICT = {"porn": 10, "porno": 10, "xxx": 10, "xxxvideos": 10, "hentai": 10, "escort": 8, "escorts": 8, "milf": 10, "camgirls": 10, "nudes": 8, "spam-farm": 10, "link-farm": 10, "warez": 9, "keygen": 9, "phishing": 9, "malware": 9, "viagra": 9, "cialis": 9}
 SOFT = {"casino": 4, "poker": 3, "slots": 3, "roulette": 3, "betting": 3, "bet": 2, "jackpot": 2, "win": 1, "winner": 1, "bonus": 1, "free": 1, "cheap": 1, "deal": 1, "deals": 1, "adult": 3, "sex": 3, "sexy": 3, "dating": 2, "loan": 2, "loans": 2, "payday": 3, "crypto": 1, "pills": 3, "replica": 2, "torrent": 2, "cracked": 2, "click": 1, "promo": 1, "download": 1}
 SOFT_LIMIT = 2
@@ -65,7 +67,8 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             out.insert(0, "page_id", pdf["page_id"].to_numpy())
             yield out
 
-    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInPandas(run, f"page_id string, {SCHEMA}").withColumn("page_id", F.col("page_id").cast("long"))
+    kind = id_type(pages, id_col)
+    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInPandas(run, f"page_id string, {SCHEMA}").withColumn("page_id", F.col("page_id").cast(kind))
 
 
 def sql() -> str:

@@ -172,3 +172,30 @@ def test_packing_cases(spark):
     assert packing.best_fit(df.limit(0)).count() == 0
     many = packing.best_fit(df, shard_items=2).collect()
     assert sum(r["size"] for r in many) == sum(r["size"] for r in out) and len({r["shard"] for r in many}) > 1
+
+
+def test_packing_by_shards_against_the_packer(spark):
+    """A shard is what the packer makes of its documents in order, whatever comes after, and
+    an id that most rows have is split."""
+    r = random.Random(13)
+    docs = [(i, r.randint(1, 60)) for i in range(40)] + [(40, 7)] * 90 + [(None, 3)] * 11
+    rows = lambda xs: spark.createDataFrame([(i, "w " * n) for i, n in xs], "doc_id long, text string")
+    got: dict[int, list] = {}
+    for x in packing.best_fit(rows(docs), capacity=64, shard_items=25).collect():
+        got.setdefault(x["shard"], []).append((x["doc_id"], x["doc_start"], x["size"], x["bin"], x["bin_start"]))
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    for shard in range(-(-len(order) // 25)):
+        part = order[shard * 25 : shard * 25 + 25]
+        want = [(part[i][0], a, n, b, c) for i, a, n, b, c in packing.pack([n for _, n in part], 64)]
+        assert sorted(got[shard], key=key) == sorted(want, key=key)
+    more = packing.best_fit(rows(docs + [(1000 + i, 5) for i in range(60)]), capacity=64, shard_items=25).where("shard < 5").collect()
+    assert sorted(map(tuple, more), key=repr) == sorted(((s, b, c, d, a, n) for s, xs in got.items() if s < 5 for d, a, n, b, c in xs), key=repr)
+    named = packing.best_fit(rows(docs).selectExpr("'k' || doc_id AS doc_id", "text"), capacity=64).collect()
+    assert sum(x["size"] for x in named) == sum(n for _, n in docs) and "k3" in {x["doc_id"] for x in named}
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("a17", "http://xxx.com", "Released under the MIT License."), ("a17", "http://xxx.com", "Released under the MIT License.")], "page_id string, url string, text string")
+    assert [x["page_id"] for x in urls.url_filter(df).collect()] == ["a17", "a17"]
+    assert [(x["doc_id"], x["confirmed"]) for x in licenses.license_scan(df, "page_id").collect()] == [("a17", True)] * 2

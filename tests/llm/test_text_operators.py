@@ -75,6 +75,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(a in group and group.get(a) == group.get(b) for a, b in close) >= 0.9 * len(close) > 0
     for a in group:  # each member resembles another of its group
         assert any(group.get(b) == group[a] and sim[tuple(sorted((a, b)))] > 0.35 for b in group if b != a)
+    df = documents(spark, texts)
+    assert {(x["doc_id"], x["group_id"]) for x in minhash.near_duplicates(df, block=2).collect()} == got
+    named = df.withColumn("doc_id", F.concat(F.lit("a"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    assert {(int(x["doc_id"][1:]), int(x["group_id"][1:])) for x in minhash.near_duplicates(named).collect()} == got
+
+
+def test_near_copies_over_many_blocks(spark):
+    """A bucket of many blocks is one group, and a pair with one other text is found in it."""
+    r = random.Random(21)
+    base = prose(r, 200)
+    texts = {i: edited(r, base, 0.01) for i in range(120)} | {500: prose(r, 60)}
+    got = {(x["doc_id"], x["group_id"], x["group_size"]) for x in minhash.near_duplicates(documents(spark, texts), block=16).collect()}
+    assert got == {(i, 0, 120) for i in range(120)}
+
+
+def test_texts_of_one_id_join_their_groups(spark):
+    r = random.Random(22)
+    a, b = prose(r, 60), prose(r, 60)
+    df = spark.createDataFrame([(5, a), (7, a), (7, b), (9, b)], "doc_id long, text string")
+    assert {tuple(x) for x in minhash.near_duplicates(df).collect()} == {(5, 5, 3), (7, 5, 3), (9, 5, 3)}
 
 
 def test_near_duplicate_cases(spark):
@@ -135,6 +155,14 @@ def test_contaminated_against_dynamic_programming(spark):
     assert got == want and len(want) > 10 and (70, 50, 0) in got
     shards = {tuple(x) for x in decontaminate.contaminated(documents(spark, texts), bench, shard_chars=300).collect()}
     assert shards == got
+    twice = documents(spark, texts).unionByName(documents(spark, {1: texts[3], None: texts[5]})).unionByName(documents(spark, texts))
+    again = {tuple(x) for x in decontaminate.contaminated(twice, bench.unionByName(bench.where("item_id = 3").withColumn("item_id", F.lit(300).cast("long")))).collect()}
+    least = {}
+    for d, i, n in [*want, *[(1, i, n) for d, i, n in want if d == 3]]:
+        least[d, i] = min(n, least.get((d, i), 99))
+    assert again == {(d, i, n) for (d, i), n in least.items()} | {(d, 300, n) for (d, i), n in least.items() if i == 3}
+    named = documents(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {(int(d[1:]), i, n) for d, i, n in (tuple(x) for x in decontaminate.contaminated(named, bench).collect())} == want
     assert decontaminate.contaminated(documents(spark, texts).limit(0), bench).count() == 0
     assert decontaminate.contaminated(documents(spark, texts), bench.limit(0)).count() == 0
 
@@ -176,6 +204,11 @@ def test_likelihood_cases(spark):
     assert counts["the"] == 4
     lat = lattice.lattice(lattice.piece_counts(lattice.word_counts(plain), lattice.MODEL), lattice.MODEL)
     assert sum(map(math.exp, lat.pieces.values())) + sum(map(math.exp, lat.bytes)) == pytest.approx(1)
+    named = lattice.likelihood(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).unionByName(df.withColumn("doc_id", F.lit("d1")).where("text = 'the cat'"))).collect()
+    assert {x["doc_id"] for x in named} == {None, *[f"d{k}" for k in texts]} and sum(x["doc_id"] == "d1" for x in named) == 2
+    long = {n: "".join(random.Random(n).choices("abcdeé", k=n)) for n in (1, 30, 62, 63, 64, 65, 70, 300)}
+    both = lat.scores(list(long.values()))
+    assert all(both[w] == pytest.approx(lat.score(w), rel=1e-9) for w in long.values())
     assert got[2]["log_prob"] != 0 and lattice.likelihood(df.limit(0)).count() == 0
 
 
@@ -202,8 +235,11 @@ def test_quality_by_hand(spark):
         if i in got:
             assert "cookies" not in got[i]["text"].lower() and got[i]["removed_lines"] == (1 if i % 3 == 0 else 0)
     assert got[300]["text"] == rows[210][1] and quality.quality_rules(df.limit(0)).count() == 0
-    judged = quality.judged(df).select("row.*").columns
-    assert judged == df.columns
+    for most in (quality.BROADCAST_BYTES, -1):
+        assert quality.judged(df, broadcast_bytes=most).select("row.*").columns == df.columns
+    plain = lambda d: sorted((repr(tuple(x)) for x in d.collect()))
+    assert plain(quality.judged(df, broadcast_bytes=-1)) == plain(quality.judged(df))
+    assert quality.quality_rules(df.limit(0), broadcast_bytes=-1).count() == 0
 
 
 # === PII ===
@@ -256,6 +292,34 @@ def test_held_out_accuracy_and_skipped_windows():
     assert not any(pii.find(quiet, w)) and not any(pii.find(quiet, w, every=True))
 
 
+def test_secrets_of_letters(spark):
+    """Without a digit: long ones are found by themselves, short ones by what announces them."""
+    w, samples = pii.model(), pii.Samples(99)
+
+    def found(low: int, high: int, before: str) -> float:
+        texts, at = [], []
+        for _ in range(200):
+            lead, key = " ".join(samples.word() for _ in range(15)) + " " + before, samples.key(pii._LETTERS, low, high)
+            texts.append(f"{lead}{key} {samples.word()}")
+            at.append((len(lead), len(lead) + len(key)))
+        return sum(any(a <= x and y <= b for a, b, _ in s) for s, (x, y) in zip(pii.find(texts, w), at)) / 200
+
+    assert found(20, 44, "") >= 0.95 and found(8, 13, "password: ") >= 0.5
+
+
+def test_reconcile_against_all_sets():
+    """The set of the greatest weight among those without an overlap, by trying all."""
+    r = random.Random(12)
+    for _ in range(60):
+        spans = {(a, a + r.randint(1, 12), r.randrange(3)) for a in (r.randrange(1, 40) for _ in range(r.randint(1, 7)))}
+        found = [(0, 60, x) for x in spans]
+        marked = np.array([r.random() < 0.5 for _ in range(60)])
+        legal = [x for x in spans if marked[x[0] : x[1]].any()]
+        best = max((len(s) for n in range(len(legal) + 1) for s in itertools.combinations(legal, n) if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(s, 2))), default=0)
+        got = pii.reconcile(found, marked)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and set(got) <= set(legal) and len(got) == best
+
+
 def test_personal_data_cases(spark):
     r = random.Random(7)
     mail, card = "kim.42@mail3.example.com", "4785380592391139"
@@ -268,6 +332,9 @@ def test_personal_data_cases(spark):
     assert out.columns == df.columns and out.count() == df.count()
     after = {x["doc_id"]: x["text"] for x in out.collect()}
     assert after[2] == texts[2] and after[3] is None and after[4] == "" and after[7] == texts[7] and after[1] == got[1]["text"]
+    more = df.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text").unionByName(df.where("doc_id = 5").select(F.lit(None).cast("string").alias("doc_id"), "text"))
+    named = [(x["doc_id"], x["text"]) for x in pii.personal_data(more.unionByName(more)).collect()]
+    assert len(named) == 8 and named.count((None, "<EMAIL>")) == 2 == named.count(("d5", "<EMAIL>"))
     assert pii.personal_data(df.limit(0)).count() == 0 and pii.masked(df.limit(0)).count() == 0
 
 
@@ -317,16 +384,20 @@ def test_substrings_against_brute_force(spark):
         left = "".join(texts[d][b:a] for b, a in zip([0, *[int(s.split("-")[1]) for s in x["spans"].split(",")]], [*[int(s.split("-")[0]) for s in x["spans"].split(",")], len(texts[d])]))
         assert x["text"] == left
     assert substrings.without_repeats(documents(spark, texts).limit(0)).count() == 0
-    few = {x["doc_id"]: x["spans"] for x in substrings.without_repeats(documents(spark, texts)).collect()}
-    assert few == {d: x["spans"] for d, x in got.items()}
+    want_spans = {d: x["spans"] for d, x in got.items()}
+    assert {x["doc_id"]: x["spans"] for x in substrings.without_repeats(documents(spark, texts), shard_contexts=1).collect()} == want_spans
+    named = documents(spark, texts).withColumn("doc_id", F.concat(F.lit("a"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    out = {x["doc_id"]: x for x in substrings.without_repeats(named).collect()}
+    assert {int(d[1:]): x["spans"] for d, x in out.items()} == want_spans
+    assert all(ref < d for d, x in out.items() for ref in x["refs"])
 
 
 def test_substring_ids(spark):
     r = random.Random(9)
     a, b = prose(r, 80), prose(r, 80)
-    df = spark.createDataFrame([(1, a), (2, a), (2, a), (3, b), (3, a), (None, a)], "doc_id long, text string")
-    got = [(x["doc_id"], x["text"].strip()) for x in substrings.without_repeats(df).collect()]
-    assert sorted(got)[:2] == [(2, ""), (2, "")] and all(d in (2, 3) for d, _ in got)
+    df = spark.createDataFrame([(1, a), (2, a), (2, a), (3, b), (3, a), (4, b), (None, a)], "doc_id long, text string")
+    got = sorted((x["doc_id"], x["text"].strip(), tuple(x["refs"])) for x in substrings.without_repeats(df).collect())
+    assert got == [(2, "", (1,)), (2, "", (1,)), (3, "", (1,)), (4, "", (3,))]
 
 
 def test_automaton_matching_statistics():
