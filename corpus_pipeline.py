@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, minhash, packing, pii, quality
-from tablewright.llm.common import beside, cut, table
+from tablewright.llm.common import beside, cut, forget, table, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return beside(docs, cut(ids.select("doc_id").distinct()), "doc_id", "left_anti", 16)
+    return beside(docs, cut(ids.select("doc_id").distinct()), "doc_id", "left_anti", F.octet_length(F.col("doc_id").cast("string")) + 16)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Stages by turns; what a stage wrote for itself goes when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
+        before = written()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            forget(x for x in written()[:-1] if x not in before or x == last)
+            last = written()[-1]
     return docs
