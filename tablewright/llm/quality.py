@@ -61,18 +61,22 @@ def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: floa
     by_host = frequent.groupBy("host").agg(F.collect_set("line").alias("bad"))
     size = by_host.agg(F.sum(F.octet_length("host") + F.size("bad") * 8 + 80)).first()[0] or 0
     if size <= broadcast_bytes:
-        hashed = rows.join(F.broadcast(by_host), "host", "left").withColumn("_held", F.when(F.col("bad").isNotNull(), F.transform(F.split("text", "\n"), line_hash)))
-        found = hashed.withColumn("bad", F.array_intersect("_held", "bad")).withColumn("bad", F.when(F.size("bad") > 0, F.col("bad")))
+        held = F.transform(F.split("text", "\n"), line_hash)
+        met = F.when(F.col("known").isNotNull(), F.array_intersect(held, F.col("known")))
+        # exploded, as a projection would be copied into each place that uses it
+        joined = rows.join(F.broadcast(by_host.withColumnRenamed("bad", "known")), "host", "left").select("rest", "text", F.explode(F.array(met)).alias("met"))
+        found = joined.select("rest", "text", F.when(F.size("met") > 0, F.col("met")).alias("bad"))
     else:
         met = hashed_lines(keyed).join(frequent, ["host", "line"]).groupBy("host", "same").agg(F.collect_set("line").alias("bad"))
         found = rows.join(met.hint("shuffle_merge"), ["host", "same"], "left")
     all_lines = F.split("text", "\n")
     left = F.filter(all_lines, lambda x: ~F.array_contains("bad", line_hash(x)))
     # texts without a hit, by far the most, are passed on as they are
-    split = found.select("rest", "text", F.size(all_lines).cast("long").alias("_lines"), F.when(F.col("bad").isNotNull(), left).alias("left"))
+    split = found.select("rest", "text", F.size(all_lines).cast("long").alias("_lines"), F.explode(F.array(F.when(F.col("bad").isNotNull(), left))).alias("left"))
     own = lambda c: F.length(F.translate(c, " \t\n\r\f", ""))
     row = F.struct(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]).alias("row")
-    judged_ = split.select(row, "text", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("_text"), "_lines", F.coalesce(F.col("_lines") - F.size("left"), F.lit(0)).cast("long").alias("_removed"))
+    what = F.struct(F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("_text"), F.coalesce(F.col("_lines") - F.size("left"), F.lit(0)).cast("long").alias("_removed"))
+    judged_ = split.select(row, "text", "_lines", F.explode(F.array(what)).alias("w")).select("row", "text", "w._text", "_lines", "w._removed")
     depleted = F.when(F.col("_removed") > 0, (own("_text") == 0) | (own("_text") < own("text") * keep)).otherwise(~F.col("_text").rlike(r"[^ \t\n\r\f]"))
     return judged_.select("row", "_text", "_lines", "_removed", F.coalesce(depleted, F.lit(True)).alias("_rejected"))
 
