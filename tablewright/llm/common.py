@@ -12,10 +12,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.ordered import cut, forget, written  # noqa: F401
+from ..functions.ordered import BROADCAST_BYTES, beside, cut, forget, written  # noqa: F401
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -32,21 +31,6 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return "long" if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
 
 
-#: A side is broadcast when its rows, as measured, take up to so many bytes.
-BROADCAST_BYTES = 32 << 20
-
-
-def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int | Column) -> DataFrame:
-    """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``, whose
-    rows are measured, is within ``BROADCAST_BYTES``; else by a shuffled join.
-
-    ``row_bytes`` is what a row takes in memory, an expression where rows differ."""
-    size = small.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("shuffle_merge"), on, how)
-
-
 def slices(sizes: Iterable[int], most: int = _BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes add up to about ``most``."""
     at, total, i = 0, 0, -1

@@ -4,9 +4,11 @@ A candidate block is compressed by zstandard alone and once with each template a
 dictionary; templates are ranked by how much smaller the block becomes.  The winner is
 confirmed by the exact differences in wording: few of its words may be missing, and none
 that changes what it grants (versions, numbers, ``no``, ``non``, ...), on either side.
+Licenses that share their sentences (MIT and MIT-0, ISC and 0BSD, BSD of two and of three
+clauses) are whole texts; they differ by more words than a notice may lack or add.
 
 Candidates come in two ways.  By wording: a template of n words that may lack and add
-d = n / 10 is cut in 2 d + 1 pieces, of which a notice that can be confirmed holds one word
+d = n / 10 of them, ``MOST_DIFFERENT`` at most, is cut in 2 d + 1 pieces, of which a notice that can be confirmed holds one word
 for word, whatever line ends and comment marks are between the words.  Around each piece
 found, the stretch of the template's words is a block; of those that overlap and are
 confirmed the one of the longest template stays.  By cue (``license``, ``copyright``, ...):
@@ -16,8 +18,9 @@ without one between, is a block where no confirmed notice lies in it.
 Cases: a null or empty text has no block; a block of any length is compressed whole; ties
 in size go to the template of fewer differing words, then the first by name; a block
 that equals no template is reported as not confirmed with its nearest; a text with many
-notices gives a row for each, also next to one another; repeated rows and ids stay separate; null ids stay null;
-other columns are ignored; an empty table gives no rows.
+notices gives a row for each, also next to one another; of an SPDX expression the first
+license is named; repeated rows and ids stay separate; null ids stay null; ids may be numbers
+or texts; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +37,33 @@ from pyspark.sql import functions as F
 
 from .common import id_type
 
-MISSING_SHARE, LEVEL = 0.1, 3
+MISSING_SHARE, MOST_DIFFERENT, LEVEL = 0.1, 8, 3
 CUE = r"licen[sc]|lizen[sz]|copyright|all rights reserved|creative commons|public domain|permission is hereby|redistribution and use|warrant(?:y|ies)|spdx|permission to use|free software|free and unencumbered"
 #: A line may end after a hyphen within a word; ``v.`` ends no sentence.
 _CUE, _UNIT, _WORD = re.compile(CUE, re.I), re.compile(r"\n+|(?<=[.!?;])(?<!\b[vV]\.)\s+"), re.compile(r"[^\W_]+(?:(?:[.']|-(?:[^\S\n]*\n[^\S\n]*(?:[*#;/%|>]+[^\S\n]+)?)?)[^\W_]+)*")
 _BROKEN = re.compile(r"-\s[^\w]*")
 _GRANTS = re.compile(r"\d|^(?:no|non|not|without|by|sa|nc|nd|by-.*|noncommercial|sharealike|noderivatives|lesser|affero|mit|apache|bsd|gnu|gpl|mozilla|isc|unlicense|cc0?|commons)$")
 
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MIT_END = "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+_ZLIB = "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+_SPDX = ("MIT", "MIT-0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "0BSD", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+
 TEMPLATES = {
+    "MIT/text": f"{_MIT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_END}",
+    "MIT-0/text": f"{_MIT}. {_MIT_END}",
+    "ISC/text": f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}",
+    "0BSD/text": f"{_ISC}. {_ISC_END}",
+    "BSD-2-Clause/text": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause/text": f"{_BSD} {_BSD_NAMES} {_BSD_END}",
+    "Zlib/text": _ZLIB,
     "MIT/notice": "Released under the MIT License.",
     "MIT/licensed": "Licensed under the MIT License.",
-    "MIT/grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/you-may-not": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -52,10 +71,8 @@ TEMPLATES = {
     "GPL-3.0/or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     "LGPL-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause/use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "BSD-3-Clause/notice": "Licensed under the BSD 3-Clause License.",
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "ISC/use": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "Unlicense/notice": "This is free and unencumbered software released into the public domain.",
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -67,6 +84,7 @@ TEMPLATES = {
     "CC-BY-ND-4.0/short": "Licensed under CC BY-ND 4.0.",
     "Proprietary/reserved": "All rights reserved.",
 }
+TEMPLATES |= {f"{x}/spdx": f"SPDX-License-Identifier: {x}" for x in _SPDX}
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -96,10 +114,20 @@ def words_of(text: str) -> list[str]:
     return [_BROKEN.sub("-", w) for w in _WORD.findall(text.lower())]
 
 
+def slack(words: list[str]) -> int:
+    """How many words a notice may lack, and how many add."""
+    return min(int(MISSING_SHARE * len(words)), MOST_DIFFERENT)
+
+
+def telling(words: list[str], want: list[str]) -> bool:
+    """Whether words change a grant.  Whole texts number their clauses or not."""
+    return any(_GRANTS.search(w) and not (len(want) > 60 and len(w) == 1) for w in words)
+
+
 def pieces(words: list[str]) -> list[tuple[int, list[str]]]:
     """Place and words of the pieces of a template; each difference harms one at most."""
     n = len(words)
-    count = 2 * int(MISSING_SHARE * n) + 1
+    count = 2 * slack(words) + 1
     cuts = [n * i // count for i in range(count + 1)]
     return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -151,11 +179,11 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         sizes = {name: len(c.compress(raw)) for name, c in self.with_template.items()}
         least = min(sizes.values())
-        # sizes are whole bytes, so near ties are told apart by their wording
-        tied = [(name, *self.differences(name, words)) for name, n in sizes.items() if n <= least + 3]
+        # templates that save nearly as much are told apart by their wording
+        tied = [(name, *self.differences(name, words)) for name, n in sizes.items() if n <= least + max(3, (alone - least) // 5)]
         name, missing, added = min(tied, key=lambda x: (len(x[1]) + len(x[2]), sizes[x[0]], x[0]))
-        few = max(len(missing), len(added)) <= MISSING_SHARE * len(self.words[name])
-        same = sizes[name] < alone and few and not any(_GRANTS.search(w) for w in (*missing, *added))
+        few = max(len(missing), len(added)) <= slack(self.words[name])
+        same = sizes[name] < alone and few and not telling([*missing, *added], self.words[name])
         return name, alone, sizes[name], " ".join(missing), " ".join(added), same
 
     def stretches(self, text: str) -> Iterator[tuple[int, int, str]]:
@@ -173,16 +201,16 @@ class Scanner:
         for name, at, piece in (x for seeds in parts for x in seeds):
             rare = min(range(len(piece)), key=lambda k: len(places.get(piece[k], ())))
             n = len(self.words[name])
-            slack = int(MISSING_SHARE * n)
+            most = slack(self.words[name])
             for i in places.get(piece[rare], ()):
                 first = i - rare
                 if first < 0 or words[first : first + len(piece)] != piece or (name, first - at) in seen:
                     continue
                 seen.add((name, first - at))
-                for wide in sorted({0, slack}):
+                for wide in sorted({0, most}):
                     a, b = max(0, first - at - wide), min(len(words), first - at + n + wide)
                     missing, added = self.differences(name, words[a:b])
-                    if max(len(missing), len(added)) <= slack and not any(_GRANTS.search(w) for w in (*missing, *added)):
+                    if max(len(missing), len(added)) <= most and not telling([*missing, *added], self.words[name]):
                         same = [m for m in SequenceMatcher(None, self.words[name], words[a:b], autojunk=False).get_matching_blocks() if m.size]
                         end = spans[a + same[-1].b + same[-1].size - 1][1]
                         yield spans[a + same[0].b][0], end + (text[end : end + 1] in (".", "!", "?", ";")), name
