@@ -73,6 +73,21 @@ def _forget_all() -> None:
         return
 
 
+#: A side is broadcast when its rows, as measured, take up to so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def beside(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int | Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``big`` joined with ``small``: without a shuffle of ``big`` while ``small``, whose
+    rows are measured, takes up to ``most`` bytes; else by a shuffled join.
+
+    ``row_bytes`` is what a row takes in memory, an expression where rows differ."""
+    size = small.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    if size <= most:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small.hint("shuffle_merge"), on, how)
+
+
 def with_row(df: DataFrame, *keys: str, name: str = "_row") -> DataFrame:
     """``df`` numbered from 0 in the order of ``keys``, which should be unique.
 

@@ -5,7 +5,7 @@ Each takes the ``wide`` view and returns issues with ``_row, column, value, expe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -17,8 +17,11 @@ def text(c: str) -> Column:
 
 def unique_key(wide: DataFrame, columns: list[str]) -> DataFrame:
     """``_row, first`` of each row whose key an earlier row has."""
-    w = Window.partitionBy(*[f"`{c}`" for c in columns])
-    return wide.withColumn("first", F.min("_row").over(w)).where("_row > first").select("_row", *columns, "first")
+    key = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")).alias(f"_k{i}") for i, c in enumerate(columns)]
+    names = [f"_k{i}" for i in range(len(columns))]
+    keyed = wide.select("_row", *[f"`{c}`" for c in columns], *key)
+    met = keyed.groupBy(*names).agg(F.min("_row").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return keyed.join(met, names).where("_row > first").select("_row", *columns, "first")
 
 
 def dependency(wide: DataFrame, determinants: list[str], dependent: str, min_support: int = 3, min_confidence: float = 0.66) -> DataFrame:
@@ -31,8 +34,9 @@ def dependency(wide: DataFrame, determinants: list[str], dependent: str, min_sup
     names = [f"k{i}" for i in range(len(determinants))]
     rows = wide.select("_row", *key, text(dependent).alias("value")).where(" or ".join(f"{k} <> ''" for k in names)).where("value <> ''")
     counts = rows.groupBy(*names, "value").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    best = counts.groupBy(*names).agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("expected"), F.max("n").alias("most"), F.sum("n").alias("support"), F.count_if(F.lit(True)).alias("values"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
-    sure = best.where((F.col("values") > 1) & (F.col("support") >= min_support) & (F.col("most") > F.get("ns", F.lit(1))) & (F.col("most") >= F.col("support") * min_confidence))
+    best = counts.groupBy(*names).agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("expected"), F.max("n").alias("most"), F.sum("n").alias("support"), F.count("*").alias("values"))
+    ties = counts.join(best.where((F.col("values") > 1) & (F.col("support") >= min_support) & (F.col("most") >= F.col("support") * min_confidence)), names)
+    sure = ties.groupBy(*names, "expected", "support").agg(F.count_if(F.col("n") == F.col("most")).alias("top")).where("top = 1").drop("top")
     return rows.join(sure, names).where("value <> expected").select("_row", F.lit(dependent).alias("column"), "value", "expected", "support")
 
 

@@ -58,12 +58,45 @@ def dominant_type(wide: DataFrame, columns: list[str] | None = None) -> DataFram
     return cells.join(F.broadcast(top), "column").where(~fits).select("_row", "column", "value", "type", "dominant")
 
 
+def issues(wide: DataFrame, contextual: bool = True) -> DataFrame:
+    """``code, _row, column, value, expected, repairable`` of the four rules above, in two
+    passes over the cells: one counts what each column holds, one tells what each cell is."""
+    v = F.col("value")
+    cells = long(wide).withColumn("s", X.strip(v)).withColumn("w", F.lower("s"))
+    word = F.when(F.col("w").isin(*X.TRUE_WORDS), "true").when(F.col("w").isin(*X.FALSE_WORDS), "false")
+    day = F.when(F.col("s").rlike(X.DATE), F.replace("s", F.lit("/"), F.lit("-")).try_cast("date"))
+    kind = F.when(F.col("s") == "", "empty").when(F.col("word").isNotNull(), "bool").when(F.col("s").rlike(X.INTEGER), "int").when(F.col("s").rlike(X.NUMBER), "float").when(day.isNotNull(), "date").otherwise("string")
+    told = cells.withColumn("word", word).select("_row", "column", "value", "s", "word", F.col("w").isin(*X.NULL_MARKERS).alias("marker"), kind.alias("type"))
+    kinds = ("bool", "int", "float", "date", "string")
+    n = told.groupBy("column").agg(F.count_if(F.col("s") == "").alias("blanks"), F.count_if("marker").alias("markers"), F.count_if((F.col("s") != "") & ~F.col("marker")).alias("observed"), F.count_if(v != "").alias("held"), F.count_if((v != "") & F.col("word").isNotNull()).alias("words"), F.count_if(F.col("type") != "empty").alias("typed"), *[F.count_if(F.col("type") == k).alias(k) for k in kinds])
+    most = F.greatest(*kinds)
+    name = F.when(F.col("int") + F.col("float") > most, "number")
+    for k in kinds:
+        name = name.when(F.col(k) == most, k)
+    share = F.when(name == "number", F.col("int") + F.col("float")).otherwise(most)
+    ok = (F.col("blanks") >= 1) & (F.col("observed") >= 3) & (F.col("markers") <= F.greatest(F.lit(2), F.floor(F.col("observed") / 5))) if contextual else F.lit(True)
+    verdict = n.select("column", ok.alias("blankable"), ((F.col("held") >= 2) & (F.col("words") >= 0.9 * F.col("held"))).alias("boolean"), F.when((F.col("typed") >= 3) & (share >= 0.8 * F.col("typed")), name).alias("dominant"))
+    fits = (F.col("type") == F.col("dominant")) | ((F.col("dominant") == "number") & F.col("type").isin("int", "float"))
+    said = lambda code, when, expected, repair: F.when(when, F.struct(F.lit(code).alias("code"), expected.cast("string").alias("expected"), repair.alias("repairable")))
+    each = F.array(
+        said("cell_outer_whitespace", v != F.col("s"), F.col("s"), F.lit(True)),
+        said("noncanonical_null_marker", F.col("marker"), F.lit(""), F.col("blankable")),
+        said("mixed_boolean_spelling", F.col("boolean") & (v != "") & (v != F.col("word")), F.col("word"), F.lit(True)),
+        said("dominant_type_violation", F.col("dominant").isNotNull() & (F.col("type") != "empty") & ~fits, F.lit(None), F.lit(False)),
+    )
+    found = told.join(F.broadcast(verdict), "column").select("_row", "column", "value", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("i"))
+    return found.select("i.code", "_row", "column", "value", "i.expected", "i.repairable")
+
+
 def exact_duplicates(wide: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``_row, first`` of each row that equals an earlier one."""
-    names = columns or [c for c in wide.columns if c != "_row"]
-    key = F.sha2(F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in names])), 256)
-    keyed = wide.select("_row", key.alias("_key"))
-    return keyed.withColumn("first", F.min("_row").over(Window.partitionBy("_key"))).where("_row > first").select("_row", "first")
+    """``_row, first`` of each row that equals an earlier one.
+
+    Rows meet by 128 bits of hash; least rows are counted in parts and joined back, so no
+    task holds all copies of a row."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in columns or [c for c in wide.columns if c != "_row"]]
+    keyed = wide.select("_row", F.xxhash64(*cells).alias("_a"), F.xxhash64(F.lit(1), *cells[::-1]).alias("_b"))
+    met = keyed.groupBy("_a", "_b").agg(F.min("_row").alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    return keyed.join(met, ["_a", "_b"]).where("_row > first").select("_row", "first")
 
 
 def duplicate_families(wide: DataFrame, columns: list[str]) -> DataFrame:

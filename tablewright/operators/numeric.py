@@ -1,8 +1,8 @@
 """Numeric equations between columns of a row.
 
 Candidates are screened on the driver with NumPy on at most 400 evenly spaced rows.
-What survives is measured over all rows and in four partitions: a few relations in one
-aggregation, many as NumPy partial counts of each Arrow batch.
+What survives is measured over all rows and in four partitions, as NumPy partial counts of
+each Arrow batch.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ def candidates(columns: list[str], terms: int = 2) -> list[Relation]:
     return out
 
 
-def numeric_columns(wide: DataFrame, columns: list[str], most: int = 12) -> list[str]:
+def numeric_columns(wide: DataFrame, columns: list[str], most: int | None = None) -> list[str]:
     """Columns of which nine tenths of the observed cells, and four of them, are numbers."""
+    if not columns:
+        return []
     seen = [F.count_if(F.col(f"`{c}`").cast("string") != "") for c in columns]
     good = [F.count(X.to_num(F.col(f"`{c}`").cast("string"))) for c in columns]
     row = wide.agg(*[x.alias(f"n{i}") for i, x in enumerate(seen)], *[x.alias(f"g{i}") for i, x in enumerate(good)]).first()
@@ -65,14 +67,14 @@ def typed(wide: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select("_row", *[X.to_num(F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
 
 
-def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batches: bool | None = None) -> DataFrame:
+def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batches: bool = True) -> DataFrame:
     """``relation, scope, eligible, matched, tight`` (within half the tolerance), by index.
 
-    Up to ten relations in one aggregation; more by NumPy (``batches`` decides otherwise)."""
+    ``batches=False`` counts in expressions instead of NumPy: the same, for comparison."""
     columns = sorted({c for t, _, s in relations for c in (t, *s)})
     nums = typed(wide, columns)
     masks = {"all": F.lit(True), "even": F.col("_row") % 2 == 0, "odd": F.col("_row") % 2 == 1, "first": F.col("_row") < rows // 2, "second": F.col("_row") >= rows // 2}
-    if not (batches if batches is not None else len(relations) > 10):
+    if not batches:
         out = None
         for at in range(0, len(relations), 3):
             aggs, cells = [], []
@@ -105,16 +107,21 @@ def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batche
     return parts.groupBy("relation", "scope").agg(*[F.sum(c).alias(c) for c in ("eligible", "matched", "tight")])
 
 
-def discover(wide: DataFrame, columns: list[str], rows: int, terms: int = 2, min_rows: int = MIN_ROWS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE) -> list[dict]:
-    """Relations that pass the screen, each with ``confidence, exact`` and ``stable``."""
-    columns = numeric_columns(wide, columns, max(12, len(columns)))
+def discover(wide: DataFrame, columns: list[str], rows: int, terms: int = 2, min_rows: int = MIN_ROWS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE, about: set[str] | None = None) -> list[dict]:
+    """Relations that pass the screen, each with ``confidence, exact`` and ``stable``.
+
+    ``about``: only those with one of these columns."""
+    columns = numeric_columns(wide, columns)
     floor = max(0.70, confidence - max(tolerance, 0.25))
     loose = max(0.60, floor - 0.10)
-    step = max(1, rows // SAMPLE)
-    sample = typed(wide, columns).where(F.col("_row") % step == 0).orderBy("_row").limit(SAMPLE).toPandas() if columns else None
+    step = max(1, -(-rows // SAMPLE))
+    sample = typed(wide, columns).where(F.col("_row") % step == 0).toPandas() if len(columns) > 2 else None
+    x = {c: sample[c].to_numpy(float) for c in columns} if sample is not None else {}
     left = []
     for relation in candidates(columns, terms):
-        there, good, _ = _hits(relation, {c: sample[c].to_numpy(float) for c in columns})
+        if about is not None and not about & {relation[0], *relation[2]}:
+            continue
+        there, good, _ = _hits(relation, x)
         if there.sum() >= max(6, min_rows // 2) and good.sum() >= loose * there.sum():
             left.append(relation)
     if not left:
@@ -154,17 +161,23 @@ def votes(wide: DataFrame, relations: list[dict]) -> DataFrame:
     return wide.select("_row", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull() & x["expected"].isNotNull())).alias("v")).select("_row", "v.*")
 
 
+def answers(wide: DataFrame, relations: list[dict], independent: int = 2) -> DataFrame:
+    """``_row, column, value, expected, witnesses``: cells with one value that relations agree
+    on: two or more for a cell that has another, an exact one or two for a blank."""
+    exact = [i for i, r in enumerate(relations) if r.get("exact")]
+    sure = F.col("relation").isin(exact) if exact else F.lit(False)
+    # a relation speaks of a cell once, so its voices need no distinct count
+    by = votes(wide, relations).groupBy("_row", "column", "value", "expected").agg(F.count("*").alias("witnesses"), F.max(sure).alias("sure"))
+    enough = F.when(F.col("value") == "", F.col("sure") | (F.col("witnesses") >= 2)).otherwise(F.col("witnesses") >= independent)
+    best = by.where(enough).groupBy("_row", "column", "value").agg(F.max_by("expected", "witnesses").alias("expected"), F.max("witnesses").alias("witnesses"), F.count("*").alias("answers"))
+    return best.where("answers = 1").drop("answers")
+
+
 def consensus(wide: DataFrame, relations: list[dict], independent: int = 2) -> DataFrame:
     """Non-blank cells on whose other value two or more relations agree, and no others do."""
-    said = votes(wide, relations).where("value <> ''").groupBy("_row", "column", "value", "expected").agg(F.countDistinct("relation").alias("witnesses")).where(F.col("witnesses") >= independent)
-    best = said.groupBy("_row", "column", "value").agg(F.max_by("expected", "witnesses").alias("expected"), F.max("witnesses").alias("witnesses"), F.count("*").alias("answers"))
-    return best.where("answers = 1").drop("answers")
+    return answers(wide, relations, independent).where("value <> ''")
 
 
 def projections(wide: DataFrame, relations: list[dict]) -> DataFrame:
     """Blank cells with the one value that exact relations give (or two others agree on)."""
-    exact = [i for i, r in enumerate(relations) if r["exact"]]
-    said = votes(wide, relations).where("value = ''").withColumn("sure", F.col("relation").isin(exact) if exact else F.lit(False))
-    by = said.groupBy("_row", "column", "value", "expected").agg(F.countDistinct("relation").alias("witnesses"), F.max("sure").alias("sure")).where("sure or witnesses >= 2")
-    best = by.groupBy("_row", "column", "value").agg(F.max_by("expected", "witnesses").alias("expected"), F.max("witnesses").alias("witnesses"), F.count("*").alias("answers"))
-    return best.where("answers = 1").drop("answers")
+    return answers(wide, relations).where("value = ''")

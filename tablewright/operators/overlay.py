@@ -12,14 +12,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import beside
+
 EDIT = "kind string, _row long, column string, old string, new string"
 
 
-def apply(wide: DataFrame, edits: DataFrame) -> DataFrame:
-    """``wide`` after the edits, one join however many columns they touch."""
+def apply(wide: DataFrame, edits: DataFrame, written: bool = False) -> DataFrame:
+    """``wide`` after the edits, one join however many columns they touch.
+
+    Edits that are ``written`` already are measured, and broadcast where they are few."""
     names = [c for c in wide.columns if c != "_row"]
     cells = edits.where("kind = 'set_cell'").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("old", "new")))).alias("_e"))
-    out = wide.join(cells, "_row", "left")
+    gone = edits.where("kind = 'delete_row'").select("_row")
+    if written:
+        sizes = F.aggregate(F.map_entries("_e"), F.lit(80), lambda n, x: n + 60 + F.coalesce(F.octet_length(x["value"]["old"]), F.lit(0)) + F.coalesce(F.octet_length(x["value"]["new"]), F.lit(0)))
+        out = beside(wide, cells, "_row", "left", sizes)
+    else:
+        out = wide.join(cells, "_row", "left")
 
     def cell(c: str):  # noqa: ANN202
         e = F.try_element_at("_e", F.lit(c))
@@ -27,7 +36,7 @@ def apply(wide: DataFrame, edits: DataFrame) -> DataFrame:
         return F.when(e["old"].eqNullSafe(now) & e.isNotNull(), e["new"]).otherwise(now).alias(c)
 
     out = out.select("_row", *[cell(c) for c in names])
-    return out.join(edits.where("kind = 'delete_row'").select("_row"), "_row", "left_anti")
+    return beside(out, gone, "_row", "left_anti", 16) if written else out.join(gone, "_row", "left_anti")
 
 
 def invert(edits: DataFrame) -> DataFrame:

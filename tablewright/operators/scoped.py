@@ -8,16 +8,18 @@ A small group is fitted on all of its rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.ordered import beside, cut
 
-ABS, REL, POINTS, SAMPLE, MIN_ROWS, CONFIDENCE, MOST_GROUPS = 1e-6, 1e-6, 40, 400, 12, 0.98, 12
+ABS, REL, POINTS, SAMPLE, MIN_ROWS, CONFIDENCE = 1e-6, 1e-6, 40, 400, 12, 0.98
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
@@ -46,8 +48,9 @@ def steady(x: np.ndarray, y: np.ndarray, law: tuple[float, float]) -> bool:
 def fits(wide: DataFrame, scope: str, source: str, target: str, confidence: float = CONFIDENCE) -> DataFrame:
     """``scope`` and the law of each group."""
     t = wide.select("_row", F.col(f"`{scope}`").cast("string").alias("scope"), X.to_num(F.col(f"`{source}`").cast("string")).alias("x"), X.to_num(F.col(f"`{target}`").cast("string")).alias("y")).where("scope <> '' and x is not null and y is not null")
-    sizes = t.groupBy("scope").agg(F.count("*").alias("n"))
-    picked = t.join(sizes, "scope").where(F.pmod(F.xxhash64("_row"), F.floor(F.col("n") / SAMPLE) + 1) == 0).select("scope", "_row", "x", "y")
+    sizes = cut(t.groupBy("scope").agg(F.count("*").alias("n")))
+    width = F.octet_length("scope") + 80
+    picked = beside(t, sizes, "scope", "inner", width).where(F.pmod(F.xxhash64("_row"), F.floor(F.col("n") / SAMPLE) + 1) == 0).select("scope", "_row", "x", "y")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
@@ -55,42 +58,69 @@ def fits(wide: DataFrame, scope: str, source: str, target: str, confidence: floa
         law = fit(x, y)
         return pd.DataFrame([(pdf["scope"].iloc[0], *law, steady(x, y, law))] if law else [], columns=["scope", "slope", "intercept", "steady"])
 
-    laws = picked.groupBy("scope").applyInPandas(one, "scope string, slope double, intercept double, steady boolean")
+    laws = cut(picked.groupBy("scope").applyInPandas(one, "scope string, slope double, intercept double, steady boolean"))
     want = F.col("slope") * F.col("x") + F.col("intercept")
     hit = lambda k: F.count_if(X.is_close(F.col("y"), want, k * ABS, k * REL))
-    out = t.join(laws, "scope").groupBy("scope", "slope", "intercept", "steady").agg(F.count("*").alias("support"), hit(1).alias("m"), hit(0.5).alias("tight"), F.min("x").alias("low"), F.max("x").alias("high"))
+    out = beside(t, laws, "scope", "inner", width).groupBy("scope", "slope", "intercept", "steady").agg(F.count("*").alias("support"), hit(1).alias("m"), hit(0.5).alias("tight"), F.min("x").alias("low"), F.max("x").alias("high"))
     share = F.col("m") / F.col("support")
     return out.select("scope", "slope", "intercept", "support", share.alias("confidence"), (F.col("m") == F.col("support")).alias("exact"), (F.col("steady") & (share >= confidence) & (F.col("tight") >= F.col("support") * confidence)).alias("stable"), "low", "high")
 
 
-def scope_columns(wide: DataFrame, columns: list[str], rows: int, most: int = MOST_GROUPS) -> list[str]:
-    """Text columns of 2 to ``most`` groups, which are a quarter of the rows at most."""
+def scope_columns(wide: DataFrame, columns: list[str], rows: int, most: int | None = None) -> list[str]:
+    """Text columns of two groups or more, which are a quarter of the rows at most."""
     if not columns:
         return []
     r = wide.agg(*[F.countDistinct(F.col(f"`{c}`").cast("string")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if 2 <= r[f"d{i}"] <= min(most, max(2, rows // 4))]
+    return [c for i, c in enumerate(columns) if 2 <= r[f"d{i}"] <= min(most or rows, max(2, rows // 4))]
 
 
-def discover(wide: DataFrame, scopes: list[str], numbers: list[str], confidence: float = CONFIDENCE) -> list[dict]:
-    """Laws with two stable groups or more that differ; all pairs of columns in one job."""
+def pair_fits(wide: DataFrame, scope: Column, pairs: list[tuple[str, str]], confidence: float) -> dict[int, list[dict]]:
+    """The stable laws of all pairs of columns by index and group of ``scope``, in one job."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), text(a).alias("x"), text(b).alias("y")) for i, (a, b) in enumerate(pairs)])
+    spread = wide.select("_row", scope.alias("s"), F.explode(each).alias("p")).where("s <> ''").select("_row", F.concat(F.col("p.i").cast("string"), F.lit(":"), "s").alias("_scope"), F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
+    by: dict[int, list[dict]] = {}
+    for r in fits(spread, "_scope", "_x", "_y", confidence).where("stable").orderBy("scope").collect():
+        i, _, group = r["scope"].partition(":")
+        by.setdefault(int(i), []).append(r.asDict() | {"scope": group})
+    return by
+
+
+def differ(laws: list[dict]) -> bool:
+    return len({(round(x["slope"], 6), round(x["intercept"], 6)) for x in laws}) >= 2
+
+
+def discover(wide: DataFrame, scopes: list[str], numbers: list[str], confidence: float = CONFIDENCE, about: set[str] | None = None) -> list[dict]:
+    """Laws with two stable groups or more that differ; all pairs of columns in one job.
+
+    ``about``: only relations with one of these columns."""
     out = []
     for scope in scopes:
-        pairs = [p for p in permutations(numbers, 2) if scope not in p]
+        pairs = [p for p in permutations(numbers, 2) if scope not in p and (about is None or about & {scope, *p})]
         if not pairs:
             continue
-        text = lambda c: F.col(f"`{c}`").cast("string")
-        each = F.array(*[F.struct(F.lit(i).alias("i"), text(a).alias("x"), text(b).alias("y")) for i, (a, b) in enumerate(pairs)])
-        spread = wide.where(text(scope) != "").select("_row", text(scope).alias("s"), F.explode(each).alias("p")).select("_row", F.concat(F.col("p.i").cast("string"), F.lit(":"), "s").alias("_scope"), F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
-        by: dict[int, list[dict]] = {}
-        for r in fits(spread, "_scope", "_x", "_y", confidence).where("stable").collect():
-            i, _, group = r["scope"].partition(":")
-            by.setdefault(int(i), []).append(r.asDict() | {"scope": group})
-        for i, laws in sorted(by.items()):
-            if len(laws) >= 2 and len({(round(l["slope"], 6), round(l["intercept"], 6)) for l in laws}) >= 2:
+        for i, laws in sorted(pair_fits(wide, F.col(f"`{scope}`").cast("string"), pairs, confidence).items()):
+            if len(laws) >= 2 and differ(laws):
                 out.append({"scope": scope, "source": pairs[i][0], "target": pairs[i][1], "laws": laws})
     return out
 
 
+def side(split: int) -> Column:
+    return F.when(F.col("_row") < split, "before").otherwise("after")
+
+
+def discover_segments(wide: DataFrame, numbers: list[str], rows: int, confidence: float = CONFIDENCE, about: set[str] | None = None) -> list[dict]:
+    """Laws that change at a third, a half or two thirds of the rows: of each pair of columns
+    the first of these at which both sides have a stable law, and another."""
+    pairs = [p for p in permutations(numbers, 2) if about is None or about & set(p)]
+    out: dict[int, dict] = {}
+    for split in dict.fromkeys((rows // 3, rows // 2, 2 * rows // 3)) if pairs else ():
+        for i, laws in pair_fits(wide, side(split), pairs, confidence).items():
+            if i not in out and len(laws) == 2 and differ(laws):
+                out[i] = {"split": split, "source": pairs[i][0], "target": pairs[i][1], "laws": laws}
+    return [r for _, r in sorted(out.items())]
+
+
 def segments(wide: DataFrame, source: str, target: str, rows: int, confidence: float = CONFIDENCE) -> DataFrame:
     """The laws before and after a third, a half and two thirds of the rows: ``split, side, ...``."""
     cuts = F.array(*[F.struct(F.lit(c).alias("split"), F.when(F.col("_row") < c, "before").otherwise("after").alias("side")) for c in (rows // 3, rows // 2, 2 * rows // 3)])
@@ -99,18 +129,31 @@ def segments(wide: DataFrame, source: str, target: str, rows: int, confidence: f
     return out.select(F.split_part("scope", F.lit(":"), F.lit(1)).cast("long").alias("split"), F.split_part("scope", F.lit(":"), F.lit(2)).alias("side"), *[c for c in out.columns if c != "scope"])
 
 
+def told(wide: DataFrame, relation: dict) -> DataFrame:
+    """``_row, value, y, want`` of the targets that a law speaks of: source in its range."""
+    laws = wide.sparkSession.createDataFrame([(x["scope"], x["slope"], x["intercept"], x["low"], x["high"]) for x in relation["laws"]], "scope string, slope double, intercept double, low double, high double")
+    scope = side(relation["split"]) if "split" in relation else F.col(f"`{relation['scope']}`").cast("string")
+    target = F.col(f"`{relation['target']}`").cast("string")
+    t = wide.select("_row", scope.alias("scope"), X.to_num(F.col(f"`{relation['source']}`").cast("string")).alias("x"), target.alias("value"), X.to_num(target).alias("y")).where("x is not null")
+    hit = beside(t, laws, "scope", "inner", F.octet_length("scope") + 80).where("x between low and high")
+    return hit.select("_row", "value", "y", (F.col("slope") * F.col("x") + F.col("intercept")).alias("want"))
+
+
 def projections(wide: DataFrame, relation: dict) -> DataFrame:
     """Blank targets by their group's law, only for sources within its range."""
-    laws = wide.sparkSession.createDataFrame([(l["scope"], l["slope"], l["intercept"], l["low"], l["high"]) for l in relation["laws"]], "scope string, slope double, intercept double, low double, high double")
-    t = wide.select("_row", F.col(f"`{relation['scope']}`").cast("string").alias("scope"), X.to_num(F.col(f"`{relation['source']}`").cast("string")).alias("x"), F.col(f"`{relation['target']}`").cast("string").alias("value"))
-    hit = t.where("value = '' and x is not null").join(F.broadcast(laws), "scope").where("x between low and high")
-    return hit.select("_row", F.lit(relation["target"]).alias("column"), "value", X.fmt_num((F.col("slope") * F.col("x") + F.col("intercept")).cast("decimal(28,9)")).alias("expected"))
+    return told(wide, relation).where("value = ''").select("_row", F.lit(relation["target"]).alias("column"), "value", X.fmt_num(F.col("want").cast("decimal(28,9)")).alias("expected"))
 
 
 def disagreements(wide: DataFrame, relation: dict) -> DataFrame:
     """Targets that differ from their group's law, in range: a witness, not yet a repair."""
-    laws = wide.sparkSession.createDataFrame([(l["scope"], l["slope"], l["intercept"], l["low"], l["high"]) for l in relation["laws"]], "scope string, slope double, intercept double, low double, high double")
-    t = wide.select("_row", F.col(f"`{relation['scope']}`").cast("string").alias("scope"), X.to_num(F.col(f"`{relation['source']}`").cast("string")).alias("x"), F.col(f"`{relation['target']}`").cast("string").alias("value"), X.to_num(F.col(f"`{relation['target']}`").cast("string")).alias("y"))
-    want = F.col("slope") * F.col("x") + F.col("intercept")
-    hit = t.where("x is not null and y is not null").join(F.broadcast(laws), "scope").where(F.col("x").between(F.col("low"), F.col("high")) & ~X.is_close(F.col("y"), want))
-    return hit.select("_row", F.lit(relation["target"]).alias("column"), "value", X.fmt_num(want.cast("decimal(28,9)")).alias("expected"))
+    hit = told(wide, relation).where(F.col("y").isNotNull() & ~X.is_close(F.col("y"), F.col("want")))
+    return hit.select("_row", F.lit(relation["target"]).alias("column"), "value", X.fmt_num(F.col("want").cast("decimal(28,9)")).alias("expected"))
+
+
+def consensus(wide: DataFrame, relations: list[dict], independent: int = 2) -> DataFrame:
+    """Targets on whose other value laws from different sources agree, and no others."""
+    parts = [disagreements(wide, r).withColumn("source", F.lit(r["source"])) for r in relations]
+    if not parts:
+        return wide.select("_row", F.lit("").alias("column"), F.lit("").alias("value"), F.lit("").alias("expected")).where("false")
+    by = reduce(DataFrame.unionByName, parts).groupBy("_row", "column", "value", "expected").agg(F.countDistinct("source").alias("n")).where(F.col("n") >= independent)
+    return by.groupBy("_row", "column", "value").agg(F.min("expected").alias("expected"), F.count("*").alias("answers")).where("answers = 1").drop("answers")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +36,45 @@ def relation_stats(wide: DataFrame, start: str, end: str, duration: str, rows: i
     return t.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def discover(wide: DataFrame, times: list[str], numbers: list[str], rows: int, confidence: float = CONFIDENCE, min_rows: int = MIN_ROWS) -> list[dict]:
+def counted(wide: DataFrame, triples: list[tuple[str, str, str]], rows: int) -> dict[tuple[int, str], dict[str, tuple[int, int]]]:
+    """Eligible and matched rows by triple, unit and scope: NumPy counts of each batch."""
+    times, numbers = sorted({c for s, e, _ in triples for c in (s, e)}), sorted({d for _, _, d in triples})
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            t, n = {c: pdf[c].to_numpy(float) for c in times}, {c: pdf[c].to_numpy(float) for c in numbers}
+            r = pdf["_row"].to_numpy()
+            masks = np.array([np.ones(len(r), bool), r % 2 == 0, r % 2 == 1, r < rows // 2, r >= rows // 2], float)
+            found = []
+            for i, (start, end, duration) in enumerate(triples):
+                took = (t[end] - t[start]) / 1e6
+                there = np.isfinite(took) & np.isfinite(n[duration])
+                for unit, k in UNITS.items():
+                    with np.errstate(invalid="ignore"):
+                        good = there & (np.abs(took - n[duration] * k) <= 1e-6 * k)
+                    found += [(i, unit, s, *x) for s, x in zip(SCOPES, (masks @ np.array([there, good], float).T).astype(int).tolist())]
+            yield pd.DataFrame(found, columns=["i", "unit", "scope", "eligible", "matched"])
+
+    sums = typed(wide, times, numbers).mapInPandas(partial, "i long, unit string, scope string, eligible long, matched long").groupBy("i", "unit", "scope").agg(F.sum("eligible").alias("e"), F.sum("matched").alias("m"))
+    out: dict[tuple[int, str], dict[str, tuple[int, int]]] = {}
+    for r in sums.collect():
+        out.setdefault((r["i"], r["unit"]), {})[r["scope"]] = (r["e"], r["m"])
+    return out
+
+
+def discover(wide: DataFrame, times: list[str], numbers: list[str], rows: int, confidence: float = CONFIDENCE, min_rows: int = MIN_ROWS, about: set[str] | None = None) -> list[dict]:
+    """Relations of all triples in one job; ``about``: only those with one of these columns."""
+    triples = [(s, e, d) for s, e in permutations(times, 2) for d in numbers if about is None or about & {s, e, d}]
+    if not triples:
+        return []
     out = []
-    for start, end in permutations(times, 2):
-        for duration in numbers:
-            by: dict[str, dict[str, tuple[int, int]]] = {}
-            for r in relation_stats(wide, start, end, duration, rows).collect():
-                by.setdefault(r["unit"], {})[r["scope"]] = (r["eligible"], r["matched"])
-            for unit, stats in by.items():
-                eligible, matched = stats["all"]
-                if eligible < min_rows or matched < max(confidence, 0.95) * eligible:
-                    continue
-                parts = [m / e for e, m in (stats[s] for s in SCOPES[1:]) if e >= max(4, min_rows // 3)]
-                out.append({"start": start, "end": end, "duration": duration, "unit": unit, "eligible": eligible, "confidence": matched / eligible, "exact": matched == eligible, "stable": len(parts) >= 2 and min(parts) >= confidence})
+    for (i, unit), stats in sorted(counted(wide, triples, rows).items()):
+        eligible, matched = stats["all"]
+        if eligible < min_rows or matched < max(confidence, 0.95) * eligible:
+            continue
+        start, end, duration = triples[i]
+        parts = [m / e for e, m in (stats[s] for s in SCOPES[1:]) if e >= max(4, min_rows // 3)]
+        out.append({"start": start, "end": end, "duration": duration, "unit": unit, "eligible": eligible, "confidence": matched / eligible, "exact": matched == eligible, "stable": len(parts) >= 2 and min(parts) >= confidence})
     return out
 
 
