@@ -37,6 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tablewright").getOrCreate()
     try:
+        if a.undo and a.bundle:
+            print(json.dumps(files.undo_bundle(spark, a.input, a.report, a.output)))
+            return 0
         if a.undo:
             print(files.undo_file(spark, a.input, a.report, a.output))
             return 0

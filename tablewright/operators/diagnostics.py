@@ -225,8 +225,10 @@ def versions(df: DataFrame, entity: str, version: str) -> DataFrame:
     return df.groupBy(F.col(entity).alias("entity")).agg(F.countDistinct(version).alias("versions")).where("versions > 1")
 
 
-def linear_laws(df: DataFrame, columns: list[str], terms: int = 4, most: int = 10) -> list[dict]:
-    """Targets that are small-integer sums of 2 to ``terms`` others, from one Gram matrix."""
+def linear_laws(df: DataFrame, columns: list[str], terms: int = 4, most: int | None = None) -> list[dict]:
+    """Targets that are small-integer sums of 2 to ``terms`` others, from one Gram matrix.
+
+    ``most``: only the first columns; by default all."""
     columns = columns[:most]
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
     n = len(x)

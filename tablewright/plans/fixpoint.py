@@ -10,14 +10,16 @@ folder, so that the plan doesn't grow with the cycles.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cut
 from ..operators import declared, diagnostics, local, mapping, numeric, overlay, scoped, sequential, temporal
+from .knowledge import validated
 
 WEIGHT = {"error": 10, "warning": 3, "info": 1}
 
@@ -36,7 +38,7 @@ class Config:
     numeric: bool = False
     formula_terms: int = 2
     numeric_independent: int = 2
-    numeric_max_columns: int = 12
+    numeric_max_columns: int | None = None
     temporal: bool = False
     scoped: bool = False
     sequential: bool = False
@@ -45,6 +47,7 @@ class Config:
     min_rows: int = 12
     confidence: float = 0.95
     dry_run: bool = False
+    analyzers: tuple[Callable[[DataFrame], DataFrame], ...] = ()
 
 
 @dataclass
@@ -102,10 +105,11 @@ def analyze(wide: DataFrame, relations: dict[str, list[dict]], config: Config, r
     """``analyzer, code, severity, _row, column, value, expected, repairable``."""
     parts: list[DataFrame] = []
 
-    def add(df: DataFrame, analyzer: str, code: str, severity: str, repair: bool | str) -> None:
+    def add(df: DataFrame, analyzer: str, code: str | Column, severity: str | Column, repair: bool | str) -> None:
         has = df.columns
+        code, severity = (x if isinstance(x, Column) else F.lit(x) for x in (code, severity))
         c = lambda n: F.col(n) if n in has else F.lit(None).cast("string").alias(n)
-        parts.append(df.select(F.lit(analyzer).alias("analyzer"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), "_row", c("column"), c("value"), c("expected"), (F.col(repair) if isinstance(repair, str) else F.lit(repair)).alias("repairable")))
+        parts.append(df.select(F.lit(analyzer).alias("analyzer"), code.alias("code"), severity.alias("severity"), "_row", c("column"), c("value"), c("expected"), (F.col(repair) if isinstance(repair, str) else F.lit(repair)).alias("repairable")))
 
     add(local.outer_whitespace(wide), "whitespace", "cell_outer_whitespace", "warning", config.trim)
     add(local.null_markers(wide, contextual=config.contextual_nulls), "null_markers", "noncanonical_null_marker", "info", "repairable" if config.normalize_null_markers else False)
@@ -137,6 +141,10 @@ def analyze(wide: DataFrame, relations: dict[str, list[dict]], config: Config, r
         add(diagnostics.locale_repairs(wide, names), "locale", "locale_numeric_canonicalization", "info", True)
     if config.rank_one and len(numbers := numeric.numeric_columns(wide, names, config.numeric_max_columns)) >= 3:
         add(diagnostics.proportional_fills(wide, numbers), "rank_one", "rank1_missing_reconstruction", "error", True)
+    for told in config.analyzers:
+        own, name = told(wide), getattr(told, "__name__", type(told).__name__)
+        rest = {"code": name, "severity": "warning", "repairable": False}
+        add(own.withColumns({n: F.lit(x) for n, x in rest.items() if n not in own.columns}), name, F.col("code"), F.col("severity"), "repairable")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -194,8 +202,11 @@ def search(table: DataFrame, batch: DataFrame, score: tuple[int, int], rows: int
     return None
 
 
-def repair(wide: DataFrame, config: Config = Config(), references: dict[str, DataFrame] | None = None, autoconfigure: bool = False) -> Result:  # noqa: B008
-    spark = wide.sparkSession
+def repair(wide: DataFrame, config: Config = Config(), references: dict[str, DataFrame] | None = None, autoconfigure: bool = False, analyzers: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> Result:  # noqa: B008
+    """``analyzers``: functions of the table that return ``_row, column, value, expected``
+    and, if they like, ``code, severity, repairable``; what they say takes part in the loop
+    as what the own families say does."""
+    spark, config = wide.sparkSession, replace(validated(config), analyzers=(*config.analyzers, *analyzers))
     text = cut(wide.select("_row", *[F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns if c != "_row"]))
     rows = (text.agg(F.max("_row")).first()[0] or 0) + 1
     if autoconfigure:
@@ -204,7 +215,7 @@ def repair(wide: DataFrame, config: Config = Config(), references: dict[str, Dat
     relations = learn(table, rows, config)
     issues = cut(analyze(table, relations, config, references))
     before = score = objective(issues)
-    cycle = 0
+    cycle, accepted = 0, False
     while cycle < config.max_cycles and not config.dry_run:
         cycle += 1
         batch = cut(edits_of(issues))
@@ -235,8 +246,11 @@ def repair(wide: DataFrame, config: Config = Config(), references: dict[str, Dat
         undone = overlay.apply(undone, overlay.invert(log.where(F.col("cycle") == c)))
     undone = undone.unionByName(text.join(deleted, "_row", "left_semi"))
     replay, undo = overlay.digest(replayed) == overlay.digest(table), overlay.digest(undone) == overlay.digest(text)
+    limited = accepted and cycle == config.max_cycles  # the next cycle might have found more
     if not (replay and undo):
         status = "REPLAY_FAILED"
+    elif limited:
+        status = "LIMIT_REACHED_WITH_REPORTED_ISSUES" if score[1] else "CLEAN_LIMIT_REACHED"
     elif score[0]:
         status = "OPEN_REPAIRABLE"
     elif score[1]:

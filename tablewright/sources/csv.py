@@ -204,4 +204,4 @@ def write_exact(wide: DataFrame, header: list[str], dialect: Dialect, path: str)
 
 def write_parts(wide: DataFrame, dialect: Dialect, path: str) -> None:
     """A folder of CSV parts in row order, written by the executors."""
-    wide.repartitionByRange("_row").sortWithinPartitions("_row").drop("_row").write.mode("overwrite").csv(path, sep=dialect.delimiter, header=True, quote='"', escape='"', lineSep=dialect.lineterminator if dialect.lineterminator != "\r\n" else "\n", emptyValue="")
+    wide.repartitionByRange("_row").sortWithinPartitions("_row").drop("_row").write.mode("overwrite").csv(path, sep=dialect.delimiter, header=True, quote='"', escape='"', lineSep=dialect.lineterminator, emptyValue="")

@@ -9,13 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import exprs as X
 from ..operators.local import canonical_cell
 
-PREFIX, SHARE = 50_000, 0.995
+SHARE = 0.995
 
 
-def boolean_columns(wide: DataFrame, columns: list[str], prefix: int = PREFIX) -> list[str]:
-    """Columns of which the first rows, two values at least, are boolean words."""
-    head = wide.where(F.col("_row") < prefix) if "_row" in wide.columns else wide
-    r = head.agg(*[F.count_if(X.strip(F.col(c)) != "").alias(f"n{i}") for i, c in enumerate(columns)], *[F.count(X.boolean_word(F.col(c))).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+def boolean_columns(wide: DataFrame, columns: list[str]) -> list[str]:
+    """Columns of which all rows, two values at least and but for a few, are boolean words."""
+    r = wide.agg(*[F.count_if(X.strip(F.col(c)) != "").alias(f"n{i}") for i, c in enumerate(columns)], *[F.count(X.boolean_word(F.col(c))).alias(f"b{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if r[f"n{i}"] >= 2 and r[f"b{i}"] >= SHARE * r[f"n{i}"]]
 
 

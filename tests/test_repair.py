@@ -157,6 +157,72 @@ def test_bundle(spark, tmp_path):
     told = files.repair_bundle(spark, str(tmp_path / "m.json"), str(out))
     assert "XX" not in (out / "orders.csv").read_text() and (out / "customers.csv").read_text() == (tmp_path / "customers.csv").read_text()
     assert not (out / ".staging").exists() and set(told["datasets"]) == {"customers", "orders"}
+    assert [(e["_row"], e["column"], e["old"]) for e in told["datasets"]["orders"]["edits"] if e["analyzer"] == "bundle"] == [(7, "country", "XX"), (40, "country", "XX")]
+
+
+def test_bundle_is_undone(spark, tmp_path):
+    (tmp_path / "customers.csv").write_text("customer_id,country\n" + "".join(f"C{i},{'FR' if i % 2 else 'DE'}\n" for i in range(20)))
+    lines = [f"O{i},C{i % 20},{'XX' if i in (7, 40) else 'FR' if i % 20 % 2 else 'DE'}\n" for i in range(100)]
+    (tmp_path / "orders.csv").write_text("order_id,customer_id,country\n" + "".join([*lines[:5], lines[3], *lines[5:]]))
+    sets = [{"input": f"{n}.csv", "name": n, "config": {"remove_exact_duplicates": True}} for n in ("customers", "orders")]
+    (tmp_path / "m.json").write_text(json.dumps({"datasets": sets}))
+    out, back, report = tmp_path / "out", tmp_path / "back", str(tmp_path / "r.json")
+    out.mkdir()
+    told = files.repair_bundle(spark, str(tmp_path / "m.json"), str(out), report)
+    assert told["cross_table_edits"] == {"orders": 2} and len((out / "orders.csv").read_text().splitlines()) == 101
+    assert files.undo_bundle(spark, str(out), report, str(back)) == {"customers": True, "orders": True}
+    (out / "orders.csv").write_text("changed\n")
+    with pytest.raises(ValueError, match="report"):
+        files.undo_bundle(spark, str(out), report, str(back))
+    assert (back / "orders.csv").read_bytes() == (tmp_path / "orders.csv").read_bytes()
+
+
+def test_broken_commit_is_taken_back(tmp_path, monkeypatch):
+    staging = tmp_path / ".staging"
+    staging.mkdir()
+    (tmp_path / "a").write_text("old")
+    for n in "abc":
+        (staging / n).write_text("new")
+    move, moved = files.os.replace, []
+
+    def broken(src, to):
+        if str(src).startswith(str(staging)):
+            moved.append(to)
+            if len(moved) == 3:
+                raise OSError("disk")
+        move(src, to)
+
+    monkeypatch.setattr(files.os, "replace", broken)
+    with pytest.raises(OSError, match="disk"):
+        files.commit(str(staging), str(tmp_path))
+    assert (tmp_path / "a").read_text() == "old" and not (tmp_path / "b").exists() and not files.recover(str(tmp_path))
+
+
+def test_parts_keep_line_ends(spark, tmp_path):
+    for end in ("\n", "\r\n"):
+        p = str(tmp_path / "in.csv")
+        with open(p, "w", newline="") as f:
+            f.write(end.join(["a;b", "1;x", "2;y", ""]))
+        w, _, dialect = source.read_wide(spark, p)
+        source.write_parts(w.coalesce(1), dialect, str(tmp_path / "parts"))
+        text = b"".join(x.read_bytes() for x in sorted((tmp_path / "parts").glob("*.csv")))
+        assert text.count(end.encode()) == text.count(b"\n") and {b"1;x", b"2;y"} < set(text.split(end.encode()))
+
+
+def test_all_numbers_bounds_limit_and_own_analyzers(spark):
+    r = random.Random(4)
+    t = wide(spark, ",".join(f"n{i}" for i in range(14)), [[*[r.randint(1, 10**6) for _ in range(11)], a := r.randint(1, 999), b := r.randint(1, 999), a + b] for _ in range(40)])
+    assert any(x["target"] == "n13" and x["kind"] == "sum" for x in fixpoint.learn(t, 40, fixpoint.Config(numeric=True))["numeric"])
+    with pytest.raises(ValueError, match="confidence"):
+        fixpoint.repair(t, fixpoint.Config(confidence=0.2))
+    small = wide(spark, "k,v", [(i, " x " if i == 3 else "bad" if i == 5 else "x") for i in range(8)])
+
+    def no_bad(w):
+        return w.where("v = 'bad'").selectExpr("_row", "'v' column", "v value", "'x' expected", "true repairable")
+
+    got = fixpoint.repair(small, analyzers=[no_bad])
+    assert {(e["_row"], e["analyzer"]) for e in got.edits.collect()} == {(3, "whitespace"), (5, "no_bad")} and got.status == "PASS"
+    assert fixpoint.repair(small, fixpoint.Config(max_cycles=1), analyzers=[no_bad]).status == "CLEAN_LIMIT_REACHED"
 
 
 def test_stream(spark, tmp_path):
