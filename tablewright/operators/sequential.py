@@ -3,6 +3,10 @@
 Neighbours come from bucketed windows (``functions.ordered``); each numeric column is
 lagged once.  Many candidates are first counted as NumPy partial counts of Arrow batches,
 with a wider tolerance, so that none is lost; what is left is counted exactly.
+
+Numbers are exact decimals of six places, so a balance may be off by one in the last of them,
+but by no share of its own size: it grows with the rows, and such a share would outgrow what
+the rows differ by.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from ..functions import exprs as X
 from ..functions.ordered import neighbours
 from .mapping import SCOPES
 
-CONFIDENCE, MIN_ROWS = 0.99, 16
+ABS, CONFIDENCE, MIN_ROWS = 1e-6, 0.99, 16
 
 
 def near(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,6 +37,10 @@ def flow(prefix: str, inflow: str, outflow: str | None) -> Column:
     return F.col(f"`{prefix}{inflow}`") - (F.col(f"`{prefix}{outflow}`") if outflow else F.lit(0))
 
 
+def equal(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= ABS
+
+
 def relation_stats(wide: DataFrame, triples: list[tuple[str, str, str | None]], rows: int) -> DataFrame:
     """``relation, scope, eligible, matched``, by index."""
     columns = sorted({c for t in triples for c in t if c})
@@ -44,7 +52,7 @@ def relation_stats(wide: DataFrame, triples: list[tuple[str, str, str | None]],
         for i in range(at, min(at + 5, len(triples))):
             b, x, y = triples[i]
             want = F.col(f"`p_{b}`") + flow("", x, y)
-            good = X.is_close(F.col(f"`{b}`"), want)
+            good = equal(F.col(f"`{b}`"), want)
             for s in SCOPES:
                 aggs += [F.count_if(masks[s] & want.isNotNull() & F.col(f"`{b}`").isNotNull()).alias(f"e{i}{s}"), F.count_if(masks[s] & good).alias(f"m{i}{s}")]
                 cells.append(F.struct(F.lit(i).alias("relation"), F.lit(s).alias("scope"), F.col(f"e{i}{s}").alias("eligible"), F.col(f"m{i}{s}").alias("matched")))
@@ -67,9 +75,8 @@ def screened(wide: DataFrame, triples: list[tuple[str, str, str | None]], confid
                 out = now[y] if y else 0.0
                 want = had[b] + now[x] - out
                 there = np.isfinite(want) & np.isfinite(now[b])
-                size = np.abs(want)
-                room = 2e-6 * (1 + np.maximum(size, 1)) + 1e-12 * (np.abs(had[b]) + np.abs(now[x]) + np.abs(out))
-                good = there & ((np.abs(now[b] - want) <= room) | (size >= 1e18))
+                room = 2 * ABS + 1e-12 * (np.abs(had[b]) + np.abs(now[x]) + np.abs(out))
+                good = there & (np.abs(now[b] - want) <= room)
                 found.append((i, int(there.sum()), int(good.sum())))
             yield pd.DataFrame(found, columns=["relation", "eligible", "matched"])
 
@@ -108,8 +115,8 @@ def two_sided(wide: DataFrame, relation: dict) -> DataFrame:
     forward = F.col(f"`p_{b}`") + flow("", x, y)
     backward = F.col(f"`n_{b}`") - flow("n_", x, y)
     said = t.select("_row", F.lit(b).alias("column"), F.col(f"`v_{b}`").alias("value"), F.col(f"`{b}`").alias("b"), forward.alias("f"), backward.alias("g"))
-    agree = said.where(X.is_close(F.col("f"), F.col("g")))
-    return agree.where("value = '' or (b is not null and not " + "(abs(b - f) <= 1e-6 + 1e-6 * greatest(abs(f), 1)))").select("_row", "column", "value", X.fmt_num(F.col("f")).alias("expected"))
+    agree = said.where(equal(F.col("f"), F.col("g")))
+    return agree.where((F.col("value") == "") | ~equal(F.col("b"), F.col("f"))).select("_row", "column", "value", X.fmt_num(F.col("f")).alias("expected"))
 
 
 def projections(wide: DataFrame, relation: dict) -> DataFrame:

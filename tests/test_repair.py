@@ -87,6 +87,17 @@ def test_time_balance_and_scope(spark):
     assert cells(scoped.projections(t, law)) == {(11, "y", "22"), (14, "y", "42")}  # 999 is out of range
 
 
+def test_wrong_balance_far_above_its_flows(spark):
+    b, rows = 40_000_000, []
+    for i in range(80):
+        b += i % 7 - i % 3
+        rows.append((b + (9 if i % 40 == 13 else 0), i % 7, i % 3))
+    t = wide(spark, "b,i,o", rows)
+    stats = {r["scope"]: (r["eligible"], r["matched"]) for r in sequential.relation_stats(t, [("b", "i", "o")], 80).collect()}
+    assert stats["all"] == (79, 75) and stats["odd"] == (40, 38)
+    assert cells(sequential.two_sided(t, {"balance": "b", "inflow": "i", "outflow": "o"})) == {(i, "b", str(rows[i][0] - 9)) for i in (13, 53)}
+
+
 def test_balance_and_scope_beyond_the_sixth_number(spark):
     r = random.Random(8)
     rows, balance = [], 500
