@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.ordered import BUCKET, cut
 
 WEIGHT = {"error": 10, "warning": 3, "info": 1}
 
@@ -47,13 +48,29 @@ def column_reliability(issues: DataFrame, rows: int) -> DataFrame:
     return issues.where("column is not null").groupBy("column").agg(F.countDistinct("_row").alias("faulty")).select("column", "faulty", F.round(1 - F.col("faulty") / rows, 6).alias("reliability"))
 
 
-def common_runs(issues: DataFrame, least: int = 3) -> DataFrame:
-    """``column, start, length`` of runs of faulty rows: gaps and islands by column."""
-    from pyspark.sql import Window
-
-    cells = issues.where("column is not null").select("column", "_row").distinct()
-    island = F.col("_row") - F.row_number().over(Window.partitionBy("column").orderBy("_row"))
-    return cells.withColumn("i", island).groupBy("column", "i").agg(F.min("_row").alias("start"), F.count("*").alias("length")).where(F.col("length") >= least).drop("i")
+def _joined(pieces: DataFrame, *by: str) -> DataFrame:
+    """``column, start, end`` of the pieces ``start`` to ``end`` that meet, within ``by``."""
+    w = Window.partitionBy(*by).orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.lag("end").over(w) + 1, F.lit(True)).cast("int")
+    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return pieces.withColumn("_new", fresh).withColumn("_run", run).groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("column", "start", "end")
+
+
+def common_runs(issues: DataFrame, least: int = 3, size: int = BUCKET) -> DataFrame:
+    """``column, start, length`` of runs of faulty rows: gaps and islands by column.
+
+    Runs are found in buckets of consecutive rows; what touches an end of its bucket, two
+    pieces at most, meets its neighbours in wider buckets, so no task holds a column."""
+    pieces = issues.where("column is not null").select("column", F.col("_row").alias("start"), F.col("_row").alias("end"))
+    length = F.col("end") - F.col("start") + 1
+    done = None
+    for width in (size, size << 10, size << 20):
+        found = _joined(pieces.withColumn("_bucket", F.floor(F.col("start") / width)), "column", "_bucket")
+        edge = (F.col("start") % width == 0) | ((F.col("end") + 1) % width == 0)
+        if done is None:  # the shorter runs go here, and what is left is read more than once
+            found = cut(found.where(edge | (length >= least)))
+        done, pieces = (found.where(~edge) if done is None else done.unionAll(found.where(~edge))), found.where(edge)
+    return done.unionAll(_joined(pieces, "column")).select("column", "start", length.alias("length")).where(F.col("length") >= least)
 
 
 def hitting_set(edges: list[frozenset], most: int = 6) -> tuple[list, bool]:

@@ -92,3 +92,12 @@ def test_overlay_and_back(spark):
     assert overlay.digest(back) == overlay.digest(t)
     got = overlay.truth(t, after, t).first()
     assert got["false_mutations"] == 4 and not got["exact"]
+
+
+def test_runs_over_the_ends_of_buckets(spark):
+    from tablewright.operators import structural
+
+    rows = [*range(3, 8), 11, 12, 13, *range(15, 18), 20, 4, *range(40, 4200), 5000, 5001]
+    t = spark.createDataFrame([("a", r) for r in rows] + [("b", 6), ("b", 7), ("b", 8)] + [(None, 1)], "column string, _row long")
+    got = structural.common_runs(t, size=4)
+    assert {tuple(r) for r in got.select("column", "start", "length").collect()} == {("a", 3, 5), ("a", 11, 3), ("a", 15, 3), ("a", 40, 4160), ("b", 6, 3)}
