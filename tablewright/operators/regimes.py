@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -106,22 +107,42 @@ def complexity(df: DataFrame, errors: dict[str, tuple[Column, int]]) -> DataFram
     return df.agg(*aggs).select(F.inline(rows)).select("model", "rows", F.round("rss", 6).alias("rss"), F.round(fit + 2 * F.col("k"), 6).alias("aic"), F.round(fit + F.col("k") * F.log("rows"), 6).alias("bic")).orderBy("bic", "aic", "model")
 
 
+#: P(weight < k) of a Poisson weight of mean one, in 32 bits; beyond the last it's under 2^-32
+_BELOW = np.array([round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def poisson_weights(rows: np.ndarray, replicates: int, seed: int) -> Iterator[np.ndarray]:
+    """The weights of ``rows``, by number, in each replicate; two are drawn from one hash."""
+    with np.errstate(over="ignore"):
+        base = _mixed(rows.astype(np.int64).view(np.uint64) + _mixed(np.array([seed], np.uint64)))
+        for k in range(0, replicates, 2):
+            bits = _mixed(base + np.uint64((k // 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            for half in (bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF))[: replicates - k]:
+                yield np.searchsorted(_BELOW, half, side="right").astype(float)
+
+
 def bootstrap(df: DataFrame, success: Column, replicates: int = 40, seed: int = 731) -> DataFrame:
     """``rate, low, high``: a share with the range of resampled ones.
 
     A row's weight in a replicate is Poisson with mean one, drawn from its number, so that
-    replicates are sums over partitions and no row travels."""
+    replicates are sums over partitions and no row travels.  Draws are made for whole arrays:
+    32 bits of a hash of row, seed and replicate, held against the distribution."""
 
     def weigh(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((replicates + 1, 2))
         for pdf in parts:
-            out = np.zeros((replicates + 1, 2))
             ok = pdf["ok"].to_numpy(float)
-            for r, x in zip(pdf["_row"], ok):
-                w = np.random.default_rng([seed, int(r)]).poisson(1.0, replicates)
-                out[1:, 0] += w
-                out[1:, 1] += w * x
-            out[0] = len(ok), ok.sum()
-            yield pd.DataFrame({"replicate": range(replicates + 1), "n": out[:, 0], "s": out[:, 1]})
+            for k, w in enumerate(poisson_weights(pdf["_row"].to_numpy(), replicates, seed), 1):
+                out[k] += w.sum(), w @ ok
+            out[0] += len(ok), ok.sum()
+        yield pd.DataFrame({"replicate": range(replicates + 1), "n": out[:, 0], "s": out[:, 1]})
 
     sums = df.select("_row", success.cast("int").alias("ok")).where("ok is not null").mapInPandas(weigh, "replicate int, n double, s double").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("r"))
     return sums.agg(F.round(F.max(F.when(F.col("replicate") == 0, F.col("r"))), 6).alias("rate"), F.round(F.min("r"), 6).alias("low"), F.round(F.max("r"), 6).alias("high"))

@@ -101,3 +101,14 @@ def test_runs_over_the_ends_of_buckets(spark):
     t = spark.createDataFrame([("a", r) for r in rows] + [("b", 6), ("b", 7), ("b", 8)] + [(None, 1)], "column string, _row long")
     got = structural.common_runs(t, size=4)
     assert {tuple(r) for r in got.select("column", "start", "length").collect()} == {("a", 3, 5), ("a", 11, 3), ("a", 15, 3), ("a", 40, 4160), ("b", 6, 3)}
+
+
+def test_bootstrap_weights():
+    import numpy as np
+
+    from tablewright.operators import regimes
+
+    w = np.array(list(regimes.poisson_weights(np.arange(40_000), 5, 731)))
+    assert w.shape == (5, 40_000) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03
+    assert np.abs(np.corrcoef(w) - np.eye(5)).max() < 0.03 and abs((w == 0).mean() - np.exp(-1)) < 0.01
+    assert (np.array(list(regimes.poisson_weights(np.array([7, 39_999]), 5, 731))) == w[:, [7, 39_999]]).all()
