@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_MARKERS = ("missing", "nil", "none", "null", "n/a", "na")
 TRUE_WORDS, FALSE_WORDS = ("t", "true", "y", "yes"), ("f", "false", "n", "no")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+BARE = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+BARE_INTEGER = r"\A[+-]?\d+\z"
 INTEGER = r"^[+-]?\d+$"
 DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
@@ -34,16 +36,35 @@ def collapsed(v: Column) -> Column:
     return F.lower(F.regexp_replace(strip(v), r"(?U)\s+", " "))
 
 
+def _number(v: Column, kind: str) -> Column:
+    """Most cells are bare numbers or blank, and are told so by one match."""
+    s = F.replace(strip(v), F.lit("−"), F.lit("-"))
+    return F.when(v == "", F.lit(None).cast(kind)).when(v.rlike(BARE), v.try_cast(kind)).when(s.rlike(NUMBER), s.try_cast(kind))
+
+
 def to_num(v: Column) -> Column:
     """Double of a plain number, else NULL.  U+2212 is a minus sign."""
-    s = F.replace(strip(v), F.lit("−"), F.lit("-"))
-    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+    return _number(v, "double")
 
 
 def to_dec(v: Column) -> Column:
     """Exact ``decimal(18,6)`` of a plain number, else NULL."""
-    s = F.replace(strip(v), F.lit("−"), F.lit("-"))
-    return F.when(s.rlike(NUMBER), s.try_cast("decimal(18,6)"))
+    return _number(v, "decimal(18,6)")
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """``to_num`` of a column's text; a column of integers needs no text for it."""
+    c = F.col(f"`{name}`")
+    return c.cast("double") if dict(df.dtypes)[name] in _WHOLE else to_num(c.cast("string"))
+
+
+def decimal_of(df: DataFrame, name: str) -> Column:
+    """``to_dec`` of a column's text; a column of integers needs no text for it."""
+    c = F.col(f"`{name}`")
+    return c.try_cast("decimal(18,6)") if dict(df.dtypes)[name] in _WHOLE else to_dec(c.cast("string"))
 
 
 def fmt_num(v: Column) -> Column:

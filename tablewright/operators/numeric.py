@@ -1,8 +1,7 @@
 """Numeric equations between columns of a row.
 
-Candidates are screened on the driver with NumPy on at most 400 evenly spaced rows.
-What survives is measured over all rows and in four partitions, as NumPy partial counts of
-each Arrow batch.
+Every candidate is measured over all rows and in four partitions, in one pass: NumPy counts
+each Arrow batch, and a task hands over one sum for each candidate.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from .mapping import SCOPES
 
-ABS, REL, MIN_ROWS, CONFIDENCE, TOLERANCE, SAMPLE = 1e-6, 1e-6, 12, 0.95, 0.05, 400
+ABS, REL, MIN_ROWS, CONFIDENCE, TOLERANCE = 1e-6, 1e-6, 12, 0.95, 0.05
+CHUNK = 1 << 13
 Relation = tuple[str, str, tuple[str, ...]]  # target, kind, sources
 
 _NUMPY = {
@@ -48,23 +48,31 @@ def numeric_columns(wide: DataFrame, columns: list[str], most: int | None = None
     if not columns:
         return []
     seen = [F.count_if(F.col(f"`{c}`").cast("string") != "") for c in columns]
-    good = [F.count(X.to_num(F.col(f"`{c}`").cast("string"))) for c in columns]
+    good = [F.count(X.number_of(wide, c)) for c in columns]
     row = wide.agg(*[x.alias(f"n{i}") for i, x in enumerate(seen)], *[x.alias(f"g{i}") for i, x in enumerate(good)]).first()
     return [c for i, c in enumerate(columns) if row[f"g{i}"] >= 4 and row[f"g{i}"] >= 0.9 * row[f"n{i}"]][:most]
 
 
-def _hits(relation: Relation, x: dict[str, np.ndarray], scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that have all members; those where the equation holds; where it does exactly."""
-    target, kind, sources = relation
+def _count(values: dict[tuple[str, tuple[str, ...]], list[tuple[int, str]]], x: dict[str, np.ndarray], sums: np.ndarray) -> None:
+    """Add, for each relation, the rows that have all members; those where the equation holds;
+    those where it holds within half the tolerance.
+
+    ``values`` has, for each kind and sources, the relations by index and target."""
     with np.errstate(all="ignore"):
-        value = _NUMPY[kind](*[x[s] for s in sources])
-        off = np.abs(x[target] - value)
-        there = np.isfinite(value) & np.isfinite(x[target])
-        return there, there & (off <= scale * (ABS + REL * np.maximum(np.abs(value), 1))), there & (off <= 1e-12)
+        has = {c: np.isfinite(v) for c, v in x.items()}
+        for (kind, sources), uses in values.items():
+            value = _NUMPY[kind](*[x[s] for s in sources])
+            finite, room = np.isfinite(value), ABS + REL * np.maximum(np.abs(value), 1)
+            for i, target in uses:
+                there = finite & has[target]
+                off = np.abs(x[target] - value)
+                good = (off <= room) & there
+                n = np.count_nonzero(good)
+                sums[i] += np.count_nonzero(there), n, n and np.count_nonzero(good & (off <= 0.5 * room))
 
 
 def typed(wide: DataFrame, columns: list[str]) -> DataFrame:
-    return wide.select("_row", *[X.to_num(F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
+    return wide.select("_row", *[X.number_of(wide, c).alias(c) for c in columns])
 
 
 def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batches: bool = True) -> DataFrame:
@@ -91,39 +99,37 @@ def relation_stats(wide: DataFrame, relations: list[Relation], rows: int, batche
             out = one if out is None else out.unionAll(one)
         return out
 
+    values: dict[tuple[str, tuple[str, ...]], list[tuple[int, str]]] = {}
+    for i, (target, kind, sources) in enumerate(relations):
+        values.setdefault((kind, tuple(sources)), []).append((i, target))
+
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(relations), 4, 3), int)  # by half and parity
         for pdf in parts:
-            x = {c: pdf[c].to_numpy(float) for c in columns}
             r = pdf["_row"].to_numpy()
-            m = np.array([np.ones(len(r), bool), r % 2 == 0, r % 2 == 1, r < rows // 2, r >= rows // 2], float)
-            found = []
-            for i, relation in enumerate(relations):
-                there, good, _ = _hits(relation, x)
-                tight = _hits(relation, x, 0.5)[1]
-                found += [(i, s, *n) for s, n in zip(SCOPES, (m @ np.array([there, good, tight], float).T).astype(int).tolist())]
-            yield pd.DataFrame(found, columns=["relation", "scope", "eligible", "matched", "tight"])
+            kind = (r >= rows // 2) * 2 + r % 2
+            order = np.argsort(kind, kind="stable")
+            held, starts = np.unique(kind[order], return_index=True)
+            whole = {c: pdf[c].to_numpy(float)[order] for c in columns}
+            for at, (k, start) in enumerate(zip(held, starts)):
+                end = starts[at + 1] if at + 1 < len(starts) else len(r)
+                for lo in range(start, end, CHUNK):  # what fits in the cache
+                    _count(values, {c: v[lo : min(lo + CHUNK, end)] for c, v in whole.items()}, sums[:, k])
+        scopes = {"all": (0, 1, 2, 3), "even": (0, 2), "odd": (1, 3), "first": (0, 1), "second": (2, 3)}
+        yield pd.DataFrame([(i, s, *sums[i, list(scopes[s])].sum(0).tolist()) for i in range(len(relations)) for s in SCOPES], columns=["relation", "scope", "eligible", "matched", "tight"])
 
     parts = nums.mapInPandas(partial, "relation long, scope string, eligible long, matched long, tight long")
     return parts.groupBy("relation", "scope").agg(*[F.sum(c).alias(c) for c in ("eligible", "matched", "tight")])
 
 
-def discover(wide: DataFrame, columns: list[str], rows: int, terms: int = 2, min_rows: int = MIN_ROWS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE, about: set[str] | None = None) -> list[dict]:
-    """Relations that pass the screen, each with ``confidence, exact`` and ``stable``.
+def discover(wide: DataFrame, columns: list[str], rows: int, terms: int = 2, min_rows: int = MIN_ROWS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE, about: set[str] | None = None, known: bool = False) -> list[dict]:
+    """Relations that hold in most rows, each with ``confidence, exact`` and ``stable``.
 
-    ``about``: only those with one of these columns."""
-    columns = numeric_columns(wide, columns)
+    ``about``: only those with one of these columns.  ``known``: the columns are numeric."""
+    columns = columns if known else numeric_columns(wide, columns)
     floor = max(0.70, confidence - max(tolerance, 0.25))
     loose = max(0.60, floor - 0.10)
-    step = max(1, -(-rows // SAMPLE))
-    sample = typed(wide, columns).where(F.col("_row") % step == 0).toPandas() if len(columns) > 2 else None
-    x = {c: sample[c].to_numpy(float) for c in columns} if sample is not None else {}
-    left = []
-    for relation in candidates(columns, terms):
-        if about is not None and not about & {relation[0], *relation[2]}:
-            continue
-        there, good, _ = _hits(relation, x)
-        if there.sum() >= max(6, min_rows // 2) and good.sum() >= loose * there.sum():
-            left.append(relation)
+    left = [r for r in candidates(columns, terms) if about is None or about & {r[0], *r[2]}]
     if not left:
         return []
     stats: dict[int, dict[str, tuple[int, int, int]]] = {}

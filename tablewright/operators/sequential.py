@@ -28,7 +28,7 @@ ABS, CONFIDENCE, MIN_ROWS = 1e-6, 0.99, 16
 
 def near(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Exact numbers of each column, of the row before (``p_``) and after (``n_``)."""
-    t = wide.select("_row", *[X.to_dec(F.col(f"`{c}`").cast("string")).alias(c) for c in columns], *[F.col(f"`{c}`").cast("string").alias(f"v_{c}") for c in columns])
+    t = wide.select("_row", *[X.decimal_of(wide, c).alias(c) for c in columns], *[F.col(f"`{c}`").cast("string").alias(f"v_{c}") for c in columns])
     make = {f"p_{c}": (lambda w, c=c: F.lag(f"`{c}`").over(w)) for c in columns} | {f"n_{c}": (lambda w, c=c: F.lead(f"`{c}`").over(w)) for c in columns}
     return neighbours(t, make, back=1, ahead=1)
 

@@ -87,6 +87,14 @@ def test_time_balance_and_scope(spark):
     assert cells(scoped.projections(t, law)) == {(11, "y", "22"), (14, "y", "42")}  # 999 is out of range
 
 
+def test_relation_that_evenly_spaced_rows_contradict(spark):
+    rows = [(i, 3 + i % 7, 5 + i % 11, (3 + i % 7) * (5 + i % 11) + (1 if i % 10 == 0 else 0)) for i in range(4000)]
+    t = spark.createDataFrame(rows, "_row long, a int, b int, c int")
+    got = {(r["target"], r["kind"], tuple(r["sources"])): r for r in numeric.discover(t, ["a", "b", "c"], 4000)}
+    one = got["c", "product", ("a", "b")]
+    assert one["stable"] and one["eligible"] == 4000 and one["confidence"] == 0.9
+
+
 def test_wrong_balance_far_above_its_flows(spark):
     b, rows = 40_000_000, []
     for i in range(80):
