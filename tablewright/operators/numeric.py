@@ -7,11 +7,13 @@ each Arrow batch, and a task hands over one sum for each candidate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -152,19 +154,29 @@ def ranges(wide: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(cells)).where("x is not null").groupBy("column").agg(F.min("x").alias("low"), F.max("x").alias("high"))
 
 
+def _surely(relation: dict) -> Column:
+    """Whether a relation of small whole numbers holds to the digit; False of any others."""
+    n = lambda c: F.col(f"`{c}`").cast("string").try_cast("int").cast("bigint")
+    t, x, kind = n(relation["target"]), [n(c) for c in relation["sources"]], relation["kind"]
+    return F.coalesce((t * x[1] == x[0]) & (x[1] != 0) if kind == "ratio" else X.evaluate(kind, x) == t, F.lit(False))
+
+
 def votes(wide: DataFrame, relations: list[dict]) -> DataFrame:
     """``_row, column, value, expected, relation``: cells that an equation contradicts or,
     where they are blank, gives.  Exact decimals; each relation by its index."""
     if not relations:
         return wide.sparkSession.createDataFrame([], "_row long, column string, value string, expected string, relation int")
-    each = []
-    for i, r in enumerate(relations):
-        want = X.evaluate(r["kind"], [X.to_dec(F.col(f"`{s}`").cast("string")) for s in r["sources"]])
-        cell = F.col(f"`{r['target']}`").cast("string")
-        off = ~X.is_close(X.to_dec(cell), want, ABS, REL)
-        use = F.when((cell == "") | off, F.struct(F.lit(r["target"]).alias("column"), cell.alias("value"), X.fmt_num(want).alias("expected"), F.lit(i).alias("relation")))
-        each.append(use)
-    return wide.select("_row", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull() & x["expected"].isNotNull())).alias("v")).select("_row", "v.*")
+    # rows of which nothing is said are told in compiled code, most by whole numbers alone
+    wide = wide.where(~reduce(and_, [_surely(r) for r in relations]))
+    names = sorted({c for r in relations for c in (r["target"], *r["sources"])})
+    cells = {c: F.col(f"`{c}`").cast("string") for c in names}
+    numbers = {c: X.decimal_of(wide, c) for c in names}
+    t = wide.select("_row", *[cells[c].alias(f"v{i}") for i, c in enumerate(names)], *[numbers[c].alias(f"x{i}") for i, c in enumerate(names)])
+    at = {c: i for i, c in enumerate(names)}
+    wants = [X.evaluate(r["kind"], [F.col(f"x{at[s]}") for s in r["sources"]]) for r in relations]
+    speaks = [F.coalesce((F.col(f"v{at[r['target']]}") == "") | ~X.is_close(F.col(f"x{at[r['target']]}"), want, ABS, REL), F.lit(False)) & want.isNotNull() for r, want in zip(relations, wants)]
+    each = [F.when(use, F.struct(F.lit(r["target"]).alias("column"), F.col(f"v{at[r['target']]}").alias("value"), X.fmt_num(want).alias("expected"), F.lit(i).alias("relation"))) for i, (r, want, use) in enumerate(zip(relations, wants, speaks))]
+    return t.where(reduce(or_, speaks)).select("_row", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull() & x["expected"].isNotNull())).alias("v")).select("_row", "v.*")
 
 
 def answers(wide: DataFrame, relations: list[dict], independent: int = 2) -> DataFrame:
@@ -172,8 +184,8 @@ def answers(wide: DataFrame, relations: list[dict], independent: int = 2) -> Dat
     on: two or more for a cell that has another, an exact one or two for a blank."""
     exact = [i for i, r in enumerate(relations) if r.get("exact")]
     sure = F.col("relation").isin(exact) if exact else F.lit(False)
-    # a relation speaks of a cell once, so its voices need no distinct count
-    by = votes(wide, relations).groupBy("_row", "column", "value", "expected").agg(F.count("*").alias("witnesses"), F.max(sure).alias("sure"))
+    # a relation speaks of a cell once, so its voices need no distinct count; rows meet once for both counts
+    by = votes(wide, relations).repartition("_row").groupBy("_row", "column", "value", "expected").agg(F.count("*").alias("witnesses"), F.max(sure).alias("sure"))
     enough = F.when(F.col("value") == "", F.col("sure") | (F.col("witnesses") >= 2)).otherwise(F.col("witnesses") >= independent)
     best = by.where(enough).groupBy("_row", "column", "value").agg(F.max_by("expected", "witnesses").alias("expected"), F.max("witnesses").alias("witnesses"), F.count("*").alias("answers"))
     return best.where("answers = 1").drop("answers")

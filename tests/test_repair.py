@@ -95,6 +95,15 @@ def test_relation_that_evenly_spaced_rows_contradict(spark):
     assert one["stable"] and one["eligible"] == 4000 and one["confidence"] == 0.9
 
 
+def test_votes_of_whole_numbers_and_others(spark):
+    rows = [("2", "3", "6"), ("2", "3", "7"), (" 2 ", "3", "6"), ("2.5", "2", "5"), ("2.5", "2", "6"), ("0", "3", ""), ("x", "3", "6"), ("2", "0", "0"), ("99999999999", "2", "5"), ("4", "", "8")]
+    t = wide(spark, "a,b,c", rows)
+    laws = [{"target": "c", "kind": "product", "sources": ["a", "b"]}, {"target": "a", "kind": "ratio", "sources": ["c", "b"]}]
+    said = {(r["_row"], r["column"], r["expected"]) for r in numeric.votes(t, laws).collect()}
+    assert said == {(1, "c", "6"), (1, "a", "2.333333"), (4, "c", "5"), (4, "a", "3"), (5, "c", "0"), (6, "a", None), (8, "c", "199999999998"), (8, "a", "2.5")} - {(6, "a", None)}
+    assert [r["_row"] for r in t.where(~numeric._surely(laws[0])).orderBy("_row").collect()] == [1, 3, 4, 5, 6, 8, 9]
+
+
 def test_wrong_balance_far_above_its_flows(spark):
     b, rows = 40_000_000, []
     for i in range(80):
