@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import cut
 from ..operators import mapping, numeric, overlay, scoped, sequential, temporal
 from . import fixpoint
 from .registry import LEDGER, NATIONS, NUMBERED, query, table
@@ -196,8 +197,8 @@ def truth_metrics(spark: SparkSession, d: str) -> DataFrame:
     dirty = ledger(spark, d, numbered=True).select(columns)
     clean = dirty.withColumn("subtotal", F.col("qty") * F.col("price"))
     found = numeric.consensus(dirty, [{"target": t, "kind": k, "sources": list(s)} for t, k, s in RELATIONS[:2]])
-    edits = found.select(F.lit("set_cell").alias("kind"), "_row", "column", F.col("value").alias("old"), F.col("expected").alias("new"))
-    return overlay.truth(dirty, overlay.apply(dirty, edits), clean)
+    edits = cut(found.select(F.lit("set_cell").alias("kind"), "_row", "column", F.col("value").alias("old"), F.col("expected").alias("new")))
+    return overlay.truth(dirty, overlay.apply(dirty, edits, written=True, deletes=False), clean)
 
 
 @query(f"WITH {_LEDGER} SELECT r AS _row, qty, price, CAST(subtotal AS VARCHAR) AS subtotal FROM l")

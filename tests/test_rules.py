@@ -94,6 +94,14 @@ def test_overlay_and_back(spark):
     assert got["false_mutations"] == 4 and not got["exact"]
 
 
+def test_truth_of_rows_that_another_side_lacks(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "_row long, a string")
+    dirty, clean = make((0, "x"), (1, "y"), (2, "z")), make((0, "x"), (1, "Y"), (3, "w"))
+    got = overlay.truth(dirty, make((0, "x"), (1, "Y"), (3, "w")), clean).first()
+    assert tuple(got)[:5] == (3, 3, 3, 0, 0) and got["exact"]
+    assert tuple(overlay.truth(dirty, dirty, make((0, "x"), (1, "y"))).first())[:5] == (1, 0, 0, 0, 1)
+
+
 def test_runs_over_the_ends_of_buckets(spark):
     from tablewright.operators import structural
 
